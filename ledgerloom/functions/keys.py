@@ -30,6 +30,12 @@ def reference_key(text: Column) -> Column:
     a decimal tail, an exponent, a text mark, digits of another script) make no difference.
     A reference without any digit is its letters; one that is all zeros is "0".
     """
+    # Most references are a label in capitals and digits; these need no more than one look.
+    short = F.ltrim(F.ltrim(text, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ_")), F.lit("0"))
+    return F.when(short.rlike("^[0-9]+$"), short).otherwise(_any_key(text))
+
+
+def _any_key(text: Column) -> Column:
     clean = squeeze(fold_digits(text))
     number = F.regexp_replace(clean, r"^'|,", "")
     plain = F.upper(F.regexp_replace(clean, r"[^\p{L}\p{N}]+", ""))
