@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.dataprep import load
+from .bpe import encode_corpus
 from .history import repeats_found
+from .mixing import mix, mix_shares
+from .names import variants_found
 from .nearest import settlement_credits
+from .splitting import oversized, split_documents
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "upi_wallet_txns", "cash_ledger", "vendor_register")
+    return variants_found(t["upi_wallet_txns"], t["cash_ledger"], t["vendor_register"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +28,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_found(t["upi_wallet_txns"], t["gateway_settlements"])
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(load(spark, sf_dir, "documents")["documents"])
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "documents", "mix_targets")
+    return mix(t["documents"], t["mix_targets"])
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "documents", "mix_targets")
+    return mix_shares(mix(t["documents"], t["mix_targets"]), t["mix_targets"])
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int, int]]:
+    """The limits: a list of settings with as many rows as there are limits."""
+    return [tuple(r) for r in load(spark, sf_dir, "piece_limits")["piece_limits"].select("limit_name", "tokenizer", "max_tokens", "overlap_tokens").collect()]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(load(spark, sf_dir, "documents")["documents"], _limits(spark, sf_dir), "wide")
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(load(spark, sf_dir, "documents")["documents"], _limits(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
