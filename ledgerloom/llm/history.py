@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import reference_key
 from ..operators.graph import components
+from ..session import cut
 
 _GROUP = ["table_name", "account", "cents"]
 _NODE = [*_GROUP, "field", "num"]
@@ -80,10 +81,13 @@ class History:
         known = self._read("nodes")
         kept = rows if self.path else self._shared_groups(rows)
         each = kept.select("table_name", "row_id", "account", "cents", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
-        own = each.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last"))
-        nodes = own.withColumn("old", F.lit(None).cast("long"))
+        each = cut(each)
+        own = each.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
         if known is not None:
             nodes = own.join(known.select(*_NODE, F.col("first").alias("old")), _NODE, "left")
+        else:
+            nodes = own.withColumn("old", F.lit(None).cast("long"))
+        nodes = cut(nodes)
         # The same number again: rows that aren't the first of their node.
         again = nodes.where("n > 1 OR old IS NOT NULL").select(*_NODE, F.coalesce("old", "first").alias("first"))
         exact = each.join(again, _NODE).where("row_id <> first").select("table_name", F.col("row_id").alias("b"), F.col("first").alias("a"))
@@ -98,7 +102,7 @@ class History:
         near = i.join(p, F.col("i.h") == F.col("p.h")).where(same[0] & same[1] & same[2] & same[3] & (F.col("i.first") < F.col("p.first")) & one_slip(F.col("i.num"), F.col("p.num")))
         links = exact.unionByName(near.select("p.table_name", F.col("p.first").alias("b"), F.col("i.first").alias("a")))
         if self.path is None:
-            return links
+            return cut(links)
         to = f"{self.path}/batch-{len(self._versions)}"
         links.write.mode("overwrite").parquet(f"{to}/links")
         new.write.mode("overwrite").parquet(f"{to}/nodes")
@@ -108,8 +112,10 @@ class History:
 
     @staticmethod
     def _shared_groups(rows: DataFrame) -> DataFrame:
-        groups = rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_GROUP)
-        return rows.join(groups, _GROUP, "left_semi")
+        """Rows whose account and amount occur again (or share the group's hash with others, which does no harm)."""
+        rows = rows.withColumn("g", F.xxhash64(*_GROUP))
+        groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        return rows.join(groups, "g", "left_semi").drop("g")
 
     def links(self) -> DataFrame:
         return self._read("links")
