@@ -145,7 +145,7 @@ def settlement_rollup(results: DataFrame) -> DataFrame:
 
 def pair_ids(results: DataFrame, left: str, right: str) -> DataFrame:
     """Distinct pairs of the ids that two columns list, joined by ``|``."""
-    one = lambda c: F.explode(F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != ""))
+    one = lambda c: F.explode(F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
     return results.select(one(left).alias("a"), right).select("a", one(right).alias("b")).distinct()
 
 

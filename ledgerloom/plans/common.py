@@ -19,4 +19,4 @@ def plain(df: DataFrame) -> DataFrame:
 def typed(sql: str, **kinds: str) -> str:
     """``sql`` with its columns cast: d double, n bigint, s varchar, t date, b boolean."""
     names = {"d": "DOUBLE", "n": "BIGINT", "s": "VARCHAR", "t": "DATE", "b": "BOOLEAN"}
-    return f"SELECT {', '.join(f'CAST({c} AS {names[k]}) AS {c}' for c, k in kinds.items())} FROM ({sql})"
+    return f"SELECT {', '.join(f'CAST("{c}" AS {names[k]}) AS "{c}"' for c, k in kinds.items())} FROM ({sql})"
