@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from ..functions import clean, taxonomy
 
 PERIOD = 7
-_ALL = W.partitionBy(F.lit(1))
-_LINE = _ALL.orderBy("date")
+
+
+def _all():
+    return W.partitionBy(F.lit(1))
+
+
+def _line():
+    return _all().orderBy("date")
 
 
 def daily_flow(t: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def densify(daily: DataFrame) -> DataFrame:
 
 def running_balance(daily: DataFrame, opening: float = 0.0) -> DataFrame:
     kind = daily.schema["net_inflow"].dataType
-    return daily.withColumn("balance", F.lit(opening).cast(kind) + F.sum("net_inflow").over(_LINE.rowsBetween(W.unboundedPreceding, 0)))
+    return daily.withColumn("balance", F.lit(opening).cast(kind) + F.sum("net_inflow").over(_line().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def decompose(daily: DataFrame) -> DataFrame:
@@ -43,10 +49,10 @@ def decompose(daily: DataFrame) -> DataFrame:
     A series of under two weeks has a centred mean of up to 3 days and no season.
     """
     value = F.col("net_inflow").cast("double")
-    s = daily.select("date", value.alias("value"), (F.row_number().over(_LINE) - 1).alias("i"), F.count(F.lit(1)).over(_ALL).alias("n"))
+    s = daily.select("date", value.alias("value"), (F.row_number().over(_line()) - 1).alias("i"), F.count(F.lit(1)).over(_all()).alias("n"))
     long = F.col("n") >= 2 * PERIOD
-    short = F.when(F.col("n") == 2, F.avg("value").over(_LINE.rowsBetween(-1, 0))).otherwise(F.avg("value").over(_LINE.rowsBetween(-1, 1)))
-    s = s.withColumn("trend", F.when(long, F.avg("value").over(_LINE.rowsBetween(-3, 3))).otherwise(short)).withColumn("pos", (F.col("i") % PERIOD).cast("int"))
+    short = F.when(F.col("n") == 2, F.avg("value").over(_line().rowsBetween(-1, 0))).otherwise(F.avg("value").over(_line().rowsBetween(-1, 1)))
+    s = s.withColumn("trend", F.when(long, F.avg("value").over(_line().rowsBetween(-3, 3))).otherwise(short)).withColumn("pos", (F.col("i") % PERIOD).cast("int"))
     season = F.avg(F.col("value") - F.col("trend")).over(W.partitionBy("pos"))
     s = s.withColumn("seasonal", F.when(long, season).otherwise(0.0))
     return s.select("date", "value", "pos", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("residual"))
@@ -56,7 +62,7 @@ def spread(parts: DataFrame) -> DataFrame:
     """One row: n, the residuals' standard deviation (a share of the mean where it is 0 or unknown), the last trend, the last day."""
     mean = F.abs(F.avg("value"))
     sd = F.stddev_samp("residual")
-    recent = parts.withColumn("back", F.row_number().over(_ALL.orderBy(F.desc("date"))))
+    recent = parts.withColumn("back", F.row_number().over(_all().orderBy(F.desc("date"))))
     return recent.agg(
         F.count(F.lit(1)).alias("n"), F.when((F.count(F.lit(1)) > 1) & (sd > 0), sd).otherwise(F.greatest(mean * 0.15, F.lit(1.0))).alias("std_dev"), F.avg(F.when(F.col("back") <= PERIOD, F.col("trend"))).alias("last_trend"), F.max("date").alias("last_day")
     )
@@ -94,7 +100,7 @@ def recurring_patterns(t: DataFrame, least: int = 3) -> DataFrame:
     for note in NOTES:
         rows = rows.where(~F.col("key").contains(note))
     keys = rows.groupBy("key").agg(F.min("txn_date").alias("first"))
-    labels = keys.groupBy(F.lit(1)).applyInPandas(_leaders, "key string, label string")
+    labels = keys.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_leaders, "key string, label string")
     rows = rows.join(labels, "key").groupBy("label", "txn_date").agg(F.count(F.lit(1)).alias("k"), F.sum("amount").alias("sum"), F.min("amount").alias("lo"), F.max("amount").alias("hi"))
     # By day from here on: repeated days have no gap between them.
     days = rows.withColumn("gap", F.datediff("txn_date", F.lag("txn_date").over(W.partitionBy("label").orderBy("txn_date"))))
@@ -149,7 +155,7 @@ def forecast(t: DataFrame, today: date | None = None, days: int = 30, opening: f
     if pending is not None:
         due = pending.groupBy(F.col("expected").alias("date")).agg(F.sum("amount").cast("double").alias("arrives"))
         line = line.join(due, "date", "left").withColumn("base", F.col("base") + F.coalesce("arrives", F.lit(0.0)))
-    total = F.lit(opening) + F.col("flow") + F.sum("base").over(_LINE.rowsBetween(W.unboundedPreceding, 0))
+    total = F.lit(opening) + F.col("flow") + F.sum("base").over(_line().rowsBetween(W.unboundedPreceding, 0))
     band = F.col("std_dev") * 1.5 * F.sqrt(F.col("d") / 7)
     r = lambda c, name: F.round(c, 2).alias(name)
     out = line.withColumn("total", total)
