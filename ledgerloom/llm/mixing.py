@@ -99,8 +99,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
 
     ``place`` orders a pass; reading passes in turn, each by place, gives the block permutations. Documents without tokens
     (null, empty), without a source or of a source that no mix names are in no mix. Repeated texts are documents of their
-    own. In the last pass documents are taken in the order of the permutation while they fit into the source's rest; then
-    the largest document that still fits fills the gap, so a source misses its budget by less than its smallest unused one.
+    own. In the last pass documents are taken in the order of the permutation until one exceeds the source's rest; then the
+    largest document that still fits is added until none does, so a source misses its budget by less than its smallest unused one.
     """
     spark = documents.sparkSession
     # One row per mix and source: a list of settings, as long as the recipe.
@@ -125,10 +125,18 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     before = sums.select(*group, "slice", F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = F.sum("n_tokens").over(W.partitionBy(*group, "slice").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     last = cut(last.withColumn("upto", upto).join(before, [*group, "slice"]).withColumn("upto", F.col("upto") + F.col("before")).withColumn("taken", F.col("upto") <= F.col("rest")))
-    gap = last.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col("n_tokens"))), F.lit(0)).alias("filled"))
-    spare = last.where(~F.col("taken")).join(gap, group).where(F.col("n_tokens") <= F.col("rest") - F.col("filled"))
-    filler = spare.groupBy(*group).agg(F.max(F.struct("n_tokens", "doc_id")).alias("f")).select(*group, F.col("f.doc_id").alias("filler"))
-    part = last.join(filler, group, "left").where(F.col("taken") | (F.col("doc_id") == F.col("filler")))
+    # Then the largest document that still fits, again and again. The gaps and each round's picks are a row per mix and source.
+    filled = last.groupBy(*group).agg(F.max("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("n_tokens"))), F.lit(0)).alias("filled"))
+    gaps = {(r["mix_name"], r["source"]): r["rest"] - r["filled"] for r in filled.collect()}
+    spare, picks = last.where(~F.col("taken")), []
+    schema = "mix_name string, source string, doc_id long"
+    while gaps:
+        rows = spark.createDataFrame([(*k, g) for k, g in gaps.items()], "mix_name string, source string, gap long")
+        fits = spare.join(rows, group).where("n_tokens <= gap").join(spark.createDataFrame(picks, schema), [*group, "doc_id"], "left_anti")
+        found = fits.groupBy(*group).agg(F.max(F.struct("n_tokens", "doc_id")).alias("f")).collect()
+        gaps = {(r["mix_name"], r["source"]): gaps[r["mix_name"], r["source"]] - r["f"]["n_tokens"] for r in found}
+        picks += [(r["mix_name"], r["source"], r["f"]["doc_id"]) for r in found]
+    part = last.where("taken").select(*base.columns, "pass_no", "place").unionByName(spare.join(spark.createDataFrame(picks, schema), [*group, "doc_id"], "left_semi").select(*base.columns, "pass_no", "place"))
     columns = ["mix_name", "source", "doc_id", "n_tokens", "pass_no", "place"]
     return whole.select(*columns).unionByName(part.select(*columns))
 
@@ -145,3 +153,22 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_used", "n_tokens", "most_repeats")})
     total = F.sum("n_tokens").over(W.partitionBy("mix_name"))
     return rows.select("mix_name", "source", "target_share", "n_used", "n_tokens", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0).alias("actual_share"), "most_repeats")
+
+
+def temperature_report(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """(mix_name, source, natural_share, exponent, weight): plain temperature mixing of every mix's sources.
+
+    The exponent is the one at which the weights are as even as the mix's targets (equal entropy). Sources without tokens are left out.
+    """
+    spark = documents.sparkSession
+    rows = targets.select("mix_name", "source", "target_share").dropna().collect()
+    sized = count_tokens(documents.where(F.col("source").isin(sorted({r["source"] for r in rows}))), ["source"], tokenizer, folder)
+    tokens = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).where("n > 0").collect()}
+    out = []
+    for name in sorted({r["mix_name"] for r in rows}):
+        live = sorted((r["source"], r["target_share"]) for r in rows if r["mix_name"] == name and r["source"] in tokens and r["target_share"] > 0)
+        if live:
+            n = [tokens[s] for s, _ in live]
+            exponent, weights = temperature_weights(n, entropy(_normal([math.log(t) for _, t in live])))
+            out += [(name, s, x / sum(n), exponent, w) for (s, _), x, w in zip(live, n, weights)]
+    return spark.createDataFrame(out, "mix_name string, source string, natural_share double, exponent double, weight double")

@@ -122,7 +122,7 @@ def parse_firm(name: str) -> tuple[list[str], str]:
         kind, word = _firm_word(token)
         if token in ("and", "the", "of"):
             continue
-        if kind != "legal" and token not in TRADE_WORDS and token not in TRADE_SHORT and k == len(tokens) - 1 and k > 1 and len(token) >= 3:
+        if kind != "legal" and token not in TRADE_WORDS and token not in TRADE_SHORT and k == len(tokens) - 1 and k > 1 and len(token) >= 2:
             near = [LEGAL[w] for w in LEGAL if len(w) >= 3 and one_slip_apart(token, w)]
             kind, word = ("legal", near[0]) if near else (kind, word)
         (legal if kind == "legal" else words).append(word)
@@ -138,10 +138,10 @@ def stem(short: str) -> str:
 
 def _short_of(short: str, full: str) -> float | None:
     """What it costs to read a first name as a short form of another; None if it can't be."""
-    if len(short) < 2 or len(full) < 4 or len(short) >= len(full):
-        return None
     if full in NICKNAMES.get(short, ()):
         return 2.0
+    if len(short) < 2 or len(full) < 4 or len(short) >= len(full):
+        return None
     if full.startswith(short):
         return 2.2
     return 2.5 if len(short) >= 3 and full.startswith(stem(short)) else None
@@ -167,7 +167,7 @@ def person_cost(a: list[str], b: list[str]) -> float | None:
                 cost = 4.0 if x1[0] == x2[0] else None
             else:
                 small, big = sorted((x1, x2), key=len)
-                cost = _short_of(small, big)
+                cost = min((c for c in (_short_of(small, big), _short_of(big, small)) if c is not None), default=None)
                 if not slip and min(len(x1), len(x2)) >= 3 and one_slip_apart(x1, x2):
                     cost = min(1.0, cost or 9.0)
                 elif cost is None and not slip:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.dataprep import load
 from .bpe import encode_corpus
 from .history import repeats_found
-from .mixing import mix, mix_shares
+from .mixing import mix, mix_shares, temperature_report
 from .names import variants_found
 from .nearest import settlement_credits
 from .splitting import oversized, split_documents
@@ -42,6 +42,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(mix(t["documents"], t["mix_targets"]), t["mix_targets"])
 
 
+def p7_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load(spark, sf_dir, "documents", "mix_targets")
+    return temperature_report(t["documents"], t["mix_targets"])
+
+
 def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int, int]]:
     """The limits: a list of settings with as many rows as there are limits."""
     return [tuple(r) for r in load(spark, sf_dir, "piece_limits")["piece_limits"].select("limit_name", "tokenizer", "max_tokens", "overlap_tokens").collect()]
@@ -55,5 +60,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(load(spark, sf_dir, "documents")["documents"], _limits(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_temperature": p7_temperature, "p8_found": p8_found, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
