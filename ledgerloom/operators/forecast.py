@@ -6,6 +6,8 @@ run in one task by nature. Transactions are summed to days before anything is or
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from datetime import date
 
 import pandas as pd
@@ -68,20 +70,30 @@ def spread(parts: DataFrame) -> DataFrame:
     )
 
 
+#: Share of words that makes two descriptions alike.
+ALIKE = 0.6
+
+
 def _leaders(keys: pd.DataFrame) -> pd.DataFrame:
-    """Leader clustering of description keys in order of first appearance: a key joins the first leader that shares 60 % of its words."""
+    """Leader clustering of description keys in order of first appearance: a key joins the first leader that shares 60 % of its words.
+
+    Leaders are found by their rarest words: two sets that alike share one of the first n - ceil(0.6 n) + 1 words in order of rarity.
+    """
+    ordered = list(keys.sort_values(["first", "key"])["key"])
+    count = Counter(w for key in ordered for w in set(key.split()))
     leaders: list[tuple[str, set]] = []
     by_word: dict[str, list[int]] = {}
     out = []
-    for key in keys.sort_values(["first", "key"])["key"]:
-        words = set(key.split())
-        near = sorted({k for w in words for k in by_word.get(w, ())})
-        label = next((leaders[k][0] for k in near if len(words & leaders[k][1]) / len(words | leaders[k][1]) >= 0.6), None)
+    for key in ordered:
+        words = sorted(set(key.split()), key=lambda w: (count[w], w))
+        rare, have = words[: len(words) - math.ceil(ALIKE * len(words)) + 1], set(words)
+        near = sorted({k for w in rare for k in by_word.get(w, ())})
+        label = next((leaders[k][0] for k in near if len(have & leaders[k][1]) / len(have | leaders[k][1]) >= ALIKE), None)
         if label is None:
             label = key
-            for w in words:
+            for w in rare:
                 by_word.setdefault(w, []).append(len(leaders))
-            leaders.append((key, words))
+            leaders.append((key, have))
         out.append((key, label))
     return pd.DataFrame(out, columns=["key", "label"])
 
