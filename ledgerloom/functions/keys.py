@@ -37,11 +37,11 @@ def reference_key(text: Column) -> Column:
 
 def _any_key(text: Column) -> Column:
     clean = squeeze(fold_digits(text))
-    number = F.regexp_replace(clean, r"^'|,", "")
+    number = F.regexp_replace(clean, r"^[^0-9]+|,", "")
     plain = F.upper(F.regexp_replace(clean, r"[^\p{L}\p{N}]+", ""))
     bare = F.regexp_replace(plain, r"^\p{L}+(?=.)", "")
     bare = F.when(bare.rlike(r"^\d"), F.regexp_replace(bare, r"^0+(?=.)", "")).otherwise(plain)
     notated = number.rlike(r"^\d+(\.\d+)?([eE]\+?\d{1,2})?$") & number.rlike(r"[.eE]")
-    as_number = F.regexp_replace(number.try_cast("decimal(38,6)").cast("string"), r"\.0+$", "")
-    key = F.when(notated & as_number.isNotNull(), as_number).otherwise(bare)
+    as_number = number.try_cast("decimal(38,6)").cast("string")
+    key = F.when(notated & F.coalesce(as_number.endswith(".000000"), F.lit(False)), F.regexp_replace(as_number, r"\.0+$", "")).otherwise(bare)
     return F.when(F.lower(clean).isin(NOTHING_WORDS) | (plain == ""), F.lit(None)).otherwise(key)
