@@ -128,13 +128,15 @@ def first_rows(links: DataFrame) -> DataFrame:
     one link to its first row; only links between first rows make a graph, so a group of copies stays a flat star.
     """
     star = links.groupBy("table_name", "b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count(F.lit(1)).alias("n"))
-    heads = links.select(F.col("a").alias("id")).distinct()
+    heads = links.select("table_name", F.col("a").alias("id")).distinct()
     many = star.where("lo <> hi").select(F.col("b").alias("id"))
-    core = links.join(heads.unionByName(many).distinct(), F.col("b") == F.col("id"), "left_semi")
+    core = links.join(heads.select("id").unionByName(many).distinct(), F.col("b") == F.col("id"), "left_semi")
     roots = components(core.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     leaf = star.join(roots.select(F.col("id").alias("lo"), F.col("component")), "lo", "left")
     out = leaf.select("table_name", F.coalesce("component", "lo").alias("row_id_a"), F.col("b").alias("row_id_b"))
-    return out.where("row_id_a < row_id_b")
+    # A first row may turn out to repeat another one, by a later row that is linked with both.
+    late = heads.join(roots, "id").select("table_name", F.col("component").alias("row_id_a"), F.col("id").alias("row_id_b"))
+    return out.unionByName(late).where("row_id_a < row_id_b").distinct()
 
 
 def repeats_found(upi: DataFrame, gateway: DataFrame) -> DataFrame:
