@@ -270,7 +270,8 @@ def nearest_lag(gateway: DataFrame, bank: DataFrame, most: int = 14, share: floa
 
 def typical_lag(lags: DataFrame, default: int = 2) -> DataFrame:
     """One row: the whole part of the mean lag, at least 1; ``default`` without any."""
-    return lags.agg(F.coalesce(F.greatest(F.lit(1), F.floor(F.avg("lag")).cast("int")), F.lit(default)).alias("typical_lag"))
+    mean = F.floor(F.avg("lag")).cast("int")
+    return lags.agg(F.when(mean.isNotNull(), F.greatest(F.lit(1), mean)).otherwise(default).alias("typical_lag"))
 
 
 def nearest_amount(targets: DataFrame, candidates: DataFrame, width: float = 100.0) -> DataFrame:
