@@ -33,7 +33,7 @@ def exception_ledger(results: DataFrame, previous: DataFrame | None = None) -> D
     # One row per slice of the order.
     sizes = rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(F.col("__slice").alias("__s"), (F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__slice")) - F.col("__n")).alias("__before"))
-    number = F.row_number().over(W.partitionBy("__slice").orderBy(*_PAIR, "stage", "reason")) + F.col("__before")
+    number = F.row_number().over(W.partitionBy("__slice").orderBy(*_PAIR, "stage", "reason", "decision", "confidence")) + F.col("__before")
     out = rows.join(before, F.col("__slice") == F.col("__s")).withColumn("exception_id", F.concat(F.lit("EXC-"), F.when(F.length(number.cast("string")) < 4, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))))
     return out.drop("__slice", "__s", "__before")
 

@@ -28,7 +28,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps_found(tables, tables["feed_profiles"])
 
 
-def _key_sql(column: str) -> str:
+def key_sql(column: str) -> str:
+    """The key of a reference in DuckDB's SQL."""
     clean = f"trim(regexp_replace({column}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
     plain = f"upper(regexp_replace({clean}, '[^0-9A-Za-z]+', '', 'g'))"
     bare = f"regexp_replace(regexp_replace({plain}, '^[A-Z]+([0-9])', '\\1'), '^0+([0-9])', '\\1')"
@@ -40,15 +41,15 @@ def _key_sql(column: str) -> str:
 
 P1_FOUND_SQL = f"""
 WITH refs AS (
-  SELECT 'gateway_settlements' AS table_name, row_id, 'order_id' AS field_name, 'order' AS target, {_key_sql("order_id")} AS k, loaded_at AS t FROM gateway_settlements
-  UNION ALL SELECT 'gateway_settlements', row_id, 'payment_id', 'payment', {_key_sql("payment_id")}, loaded_at FROM gateway_settlements
+  SELECT 'gateway_settlements' AS table_name, row_id, 'order_id' AS field_name, 'order' AS target, {key_sql("order_id")} AS k, loaded_at AS t FROM gateway_settlements
+  UNION ALL SELECT 'gateway_settlements', row_id, 'payment_id', 'payment', {key_sql("payment_id")}, loaded_at FROM gateway_settlements
   UNION ALL SELECT 'refunds_report', row_id, 'original_reference', CASE upper(trim(source_type)) WHEN 'UPI' THEN 'upi' WHEN 'PAYPAL' THEN 'paypal' WHEN 'GATEWAY' THEN 'payment' END,
-    {_key_sql("original_reference")}, loaded_at FROM refunds_report),
+    {key_sql("original_reference")}, loaded_at FROM refunds_report),
 parents AS (
-  SELECT 'order' AS target, {_key_sql("order_id")} AS k, loaded_at AS a, removed_at AS b FROM order_register
-  UNION ALL SELECT 'payment', {_key_sql("payment_id")}, loaded_at, removed_at FROM payment_register
-  UNION ALL SELECT 'upi', {_key_sql("reference_utr")}, loaded_at, removed_at FROM upi_wallet_txns
-  UNION ALL SELECT 'paypal', {_key_sql("transaction_id")}, loaded_at, removed_at FROM paypal_statement)
+  SELECT 'order' AS target, {key_sql("order_id")} AS k, loaded_at AS a, removed_at AS b FROM order_register
+  UNION ALL SELECT 'payment', {key_sql("payment_id")}, loaded_at, removed_at FROM payment_register
+  UNION ALL SELECT 'upi', {key_sql("reference_utr")}, loaded_at, removed_at FROM upi_wallet_txns
+  UNION ALL SELECT 'paypal', {key_sql("transaction_id")}, loaded_at, removed_at FROM paypal_statement)
 SELECT DISTINCT table_name, row_id, field_name FROM refs r
 WHERE r.k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.target = r.target AND p.k = r.k AND p.a <= r.t AND (p.b IS NULL OR p.b > r.t))
 """

@@ -8,7 +8,7 @@ from ..config import REFERENCE_PREFIXES, MatchConfig
 from ..functions import dates, score
 from ..functions.clean import _quoted, normal_reference
 from ..operators import learn, match, review
-from .common import plain, typed
+from .common import plain, tokens_sql, typed
 from .pools import WITH_POOLS, counterpart, primary, sql
 
 CFG = MatchConfig()
@@ -139,6 +139,20 @@ def similar_topk_jaccard(spark, d):
     return plain(out.select("p_id", "c_id", "similarity_score", "amount_gap", "day_gap", "id_type", "place"))
 
 
+SIMILAR_SQL = typed(
+    f"""{WITH_POOLS}, J AS (SELECT p.id AS p_id, c.id AS c_id, c.ord AS c_ord, abs(p.net_amount - c.net_amount) AS amount_gap, abs(p.txn_date - c.txn_date) AS day_gap, p.utr AS pu, c.utr AS cu, lower(p.order_id) = lower(c.order_id) AS same_order,
+  {tokens_sql("p.description")} AS a, {tokens_sql("c.description")} AS b FROM P p JOIN C c ON (lower(p.utr) = lower(c.utr) OR lower(p.order_id) = lower(c.order_id) OR (abs(p.net_amount - c.net_amount) <= 1 AND abs(p.txn_date - c.txn_date) <= 4)) WHERE {COMPATIBLE}),
+ S AS (SELECT *, CASE WHEN lower(pu) = lower(cu) THEN 'exact_utr' WHEN same_order THEN 'exact_order_id' ELSE 'none' END AS id_type, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))), 4) AS narr FROM J),
+ W AS (SELECT *, CASE id_type WHEN 'exact_utr' THEN CAST(1 AS DOUBLE) WHEN 'exact_order_id' THEN CAST(0.95 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS si,
+  CASE WHEN amount_gap = 0 THEN CAST(1 AS DOUBLE) WHEN amount_gap <= 1 THEN greatest(CAST(0.5 AS DOUBLE), 1 - CAST(amount_gap AS DOUBLE) / 2) WHEN id_type <> 'none' THEN CAST(0.8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS sa,
+  CASE WHEN day_gap = 0 THEN CAST(1 AS DOUBLE) WHEN day_gap <= 4 THEN greatest(CAST(0.5 AS DOUBLE), 1 - CAST(day_gap AS DOUBLE) / 8) ELSE CAST(0 AS DOUBLE) END AS sd FROM S),
+ V AS (SELECT *, si * CAST(0.4 AS DOUBLE) + sa * CAST(0.3 AS DOUBLE) + sd * CAST(0.15 AS DOUBLE) + narr * CAST(0.15 AS DOUBLE) AS w FROM W),
+ X AS (SELECT *, {_four("CASE WHEN si >= 0.95 OR (sa = 1 AND sd = 1) THEN greatest(w, CAST(0.85 AS DOUBLE)) ELSE w END")} AS similarity_score FROM V),
+ R AS (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY similarity_score DESC, c_ord, c_id) AS place FROM X WHERE similarity_score >= 0.4) SELECT * FROM R WHERE place <= 3""",
+    p_id="s", c_id="s", similarity_score="d", amount_gap="d", day_gap="n", id_type="s", place="n",
+)
+
+
 def similar_topk_full(spark, d):
     return plain(match.similar_candidates(primary(spark, d), counterpart(spark, d), k=3, narration=True).select("p_id", "c_id", "similarity_score", "narration", "place"))
 
@@ -240,6 +254,6 @@ SQL = {
     "exact_match": typed(f"{KEYS} SELECT p_id, c_id, CASE tier WHEN 0 THEN 'exact_utr' ELSE 'exact_document' END AS match_type, 1.0 AS confidence FROM E", p_id="s", c_id="s", match_type="s", confidence="d"),
     "unique_amount_date": UNIQUE_SQL,
     "band_join": typed(_BAND + " SELECT * FROM J", p_id="s", c_id="s", amount_gap="d", day_gap="n"),
-    "band_ties": BAND_TIES_SQL, "aggregate_topologies": AGGREGATE_SQL, "score_expression": SCORE_SQL, "expected_net": EXPECTED_SQL, "pair_features": FEATURES_SQL,
+    "band_ties": BAND_TIES_SQL, "aggregate_topologies": AGGREGATE_SQL, "score_expression": SCORE_SQL, "similar_topk_jaccard": SIMILAR_SQL, "expected_net": EXPECTED_SQL, "pair_features": FEATURES_SQL,
     "desc_substring_join": f"{WITH_POOLS} SELECT p.id AS p_id, c.id AS c_id FROM P p JOIN C c ON contains(p.description, c.order_id) WHERE {COMPATIBLE} AND {AGREE}",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as an
 from ..operators import learn, match, qa
 from .common import plain, typed
-from .matching import KEYS, _feature_pairs
+from .matching import FEATURES_SQL, KEYS, _feature_pairs
 from .pools import WITH_POOLS, WITH_T, counterpart, primary, transactions
 from .reporting import _SCORED, TAX, _pct, _scored
 
@@ -79,5 +79,8 @@ SQL = {
  SELECT *, round(CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), 4) AS accuracy, CASE WHEN tp + fp > 0 THEN round(CAST(tp AS DOUBLE) / (tp + fp), 4) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(CAST(tp AS DOUBLE) / (tp + fn), 4) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn), 4) ELSE 0 END AS f1 FROM C""",
         tn="n", fp="n", fn="n", tp="n", accuracy="d", precision="d", recall="d", f1="d",
     ),
+    "weak_labels": typed(
+        f"""WITH F AS ({FEATURES_SQL}) SELECT settlement_id, CASE WHEN utr_match = 1 OR order_id_exact = 1 OR (amount_difference_pct <= 0.15 AND date_difference_days <= 7) THEN 1 ELSE 0 END AS label FROM F""", settlement_id="s", label="n",
+    ),
     "display_dates": f"{WITH_T} SELECT id, strftime(txn_date, '%d/%m/%Y') AS shown FROM T",
 }

@@ -11,8 +11,8 @@ from ..operators import analytics as an
 from ..operators import learn, match, review
 from ..operators.ingest import union_aligned
 from .common import plain, typed
-from .matching import _four
-from .pools import WITH_POOLS, WITH_T, counterpart, primary, sql, transactions
+from .matching import KEYS
+from .pools import WITH_T, counterpart, primary, sql, transactions
 
 TODAY = datetime.date(2001, 8, 10)
 TAX = "CASE WHEN lower(trim(status)) = 'settled' THEN 'SETTLED' WHEN lower(trim(status)) IN ('auto', 'matched') THEN 'MATCHED' WHEN lower(trim(status)) IN ('manual', 'llm', 'similar', 'review') THEN 'SIMILAR' ELSE 'UNMATCHED' END"
@@ -222,5 +222,14 @@ SQL = {
         f"""{WITH_T}, A AS (SELECT id, abs(amount) AS amount FROM T WHERE k % 2 = 0), B AS (SELECT DISTINCT abs(amount) AS amount FROM T WHERE k % 2 = 1), L AS (SELECT a.id, a.amount - b.amount AS g FROM A a ASOF LEFT JOIN B b ON a.amount >= b.amount),
  H AS (SELECT a.id, b.amount - a.amount AS g FROM A a ASOF LEFT JOIN B b ON a.amount <= b.amount) SELECT L.id, least(L.g, H.g) AS amount_gap FROM L JOIN H USING (id)""", id="s", amount_gap="d",
     ),
+    "exception_ledger": typed(
+        f"""WITH R AS ({_RESULTS_SQL.replace("FROM lineitem", ", concat('B', CAST(l_partkey AS STRING)) AS bank_transaction_id FROM lineitem")}), E AS (SELECT *, {_EXC} AS e FROM R WHERE decision <> 'matched'),
+ N AS (SELECT *, {_PRIO} AS priority, CASE WHEN r = 0 THEN 'Refund open' WHEN r = 1 THEN 'ambiguous tie of two' WHEN r = 2 THEN 'insufficient data' WHEN r = 3 THEN 'status excluded' WHEN r = 4 THEN 'duplicate of another' WHEN r = 5 THEN 'no LLM result' ELSE 'amount differs' END AS reason FROM E),
+ O AS (SELECT *, row_number() OVER (ORDER BY settlement_id, bank_transaction_id, stage, reason, decision, confidence) AS n FROM N)
+ SELECT settlement_id, bank_transaction_id, stage, decision, confidence, reason, e AS exception_type, priority, 'open' AS state, NULL AS resolution, 'EXC-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS exception_id FROM O""",
+        settlement_id="s", bank_transaction_id="s", stage="s", decision="s", confidence="d", reason="s", exception_type="s", priority="s", state="s", resolution="s", exception_id="s",
+    ),
+    "hard_cases": typed(f"WITH S AS ({_SCORED}) SELECT id, score, label, kind FROM (SELECT *, 'missed' AS kind FROM S WHERE label = 1 AND score < 0.9 ORDER BY score, id LIMIT 10) UNION ALL SELECT id, score, label, kind FROM (SELECT *, 'false' AS kind FROM S WHERE label = 0 AND score >= 0.9 ORDER BY score DESC, id LIMIT 10)", id="s", score="d", label="n", kind="s"),
+    "truth_labels": typed(f"{KEYS} SELECT p_id, c_id, CASE WHEN CAST(p_id[2:] AS BIGINT) % 4 <> 0 AND p_id[2:] = c_id[2:] THEN 1 ELSE 0 END AS label FROM E", p_id="s", c_id="s", label="n"),
     "negative_sampling": "WITH N AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT concat('P', CAST(l_orderkey AS STRING)) AS p_id, least(count(*), 4) AS n FROM N GROUP BY l_orderkey",
 }

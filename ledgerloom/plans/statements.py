@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, dates, text
 from ..operators import ingest
-from .common import plain, typed
+from .common import plain, tokens_sql, typed
 from .pools import sql
 
 
@@ -144,13 +144,8 @@ QUERIES = {
 }
 
 _STATUS_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in clean.STATUS.items())
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-def _tokens_sql(c: str) -> str:
-    words = f"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '\\w+'))"
-    telling = f"list_filter({words}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '[0-9]+'))"
-    return f"CASE WHEN len({telling}) > 0 THEN {telling} ELSE {words} END"
 
 
 SQL = {
@@ -181,7 +176,7 @@ SQL = {
         """WITH O AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 40 AS INT) - 20 AS b FROM orders)
  SELECT k, len(list_filter(range(0, CAST(abs(b - a) AS BIGINT)), lambda i: isodow(least(a, b) + CAST(i AS INT) + 1) <= 5)) AS n FROM O""", k="n", n="n",
     ),
-    "narration_tokens": f"""WITH T AS (SELECT p_partkey, {_tokens_sql("p_name")} AS a, {_tokens_sql("p_type")} AS b FROM part)
+    "narration_tokens": f"""WITH T AS (SELECT p_partkey, {tokens_sql("p_name")} AS a, {tokens_sql("p_type")} AS b FROM part)
  SELECT p_partkey, array_to_string(list_sort(a), '|') AS words, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))), 4) ELSE 0 END AS jaccard FROM T""",
     "pattern_keys": "SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(concat_ws(' ', description, ref_utr))), '\\b[a-f0-9]{8,}\\b', '', 'g'), '\\b[0-9]{6,}\\b', '', 'g'), '\\s+', ' ', 'g')) AS key FROM bank_statement",
 }
