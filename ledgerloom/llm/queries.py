@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.dataprep import load
+from ..plans.dataprep import key_sql, load
 from .bpe import encode_corpus
 from .history import repeats_found
 from .mixing import mix, mix_shares, temperature_report
@@ -61,4 +61,13 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_temperature": p7_temperature, "p8_found": p8_found, "p8_pieces": p8_pieces}
-SQL: dict[str, str] = {}
+#: Pairs within an account and amount, closed by reachability.
+P5_FOUND_SQL = f"""
+WITH RECURSIVE R AS (SELECT 'upi_wallet_txns' AS t, row_id, merchant_id AS m, amount AS c, {key_sql("transaction_id")} AS n0, {key_sql("reference_utr")} AS n1 FROM upi_wallet_txns
+  UNION ALL SELECT 'gateway_settlements', row_id, merchant_id, net_amount, {key_sql("utr")}, NULL FROM gateway_settlements),
+E AS (SELECT a.t, a.row_id AS x, b.row_id AS y FROM R a JOIN R b ON a.t = b.t AND a.m = b.m AND a.c = b.c AND a.row_id < b.row_id AND (damerau_levenshtein(a.n0, b.n0) <= 1 OR damerau_levenshtein(a.n1, b.n1) <= 1)),
+U AS (SELECT t, x, y FROM E UNION SELECT t, y, x FROM E),
+C AS (SELECT t, x AS id, y AS r FROM U UNION SELECT C.t, C.id, U.y FROM C JOIN U ON U.x = C.r)
+SELECT t AS table_name, min(r) AS row_id_a, id AS row_id_b FROM C GROUP BY t, id HAVING min(r) < id
+"""
+SQL = {"p5_found": P5_FOUND_SQL}

@@ -62,6 +62,13 @@ def boundaries(text: str) -> list[tuple[int, int]]:
     return sorted((p, level) for p, level in found.items() if 0 < p < len(text))
 
 
+def measure(e: Encoder, text: str) -> tuple[list[int], list[int]]:
+    """Starts, in characters, and sizes, in tokens, of the pieces that the tokenizer cuts a text into."""
+    kept, piece = e.kept, e.piece
+    words = e.cut.findall(text)
+    return [0, *accumulate(map(len, words))][:-1], [len(kept.get(w) or piece(w)) for w in words]
+
+
 class Splitter:
     """Cuts texts into pieces of at most ``max_tokens`` tokens, neighbours sharing ``overlap`` tokens."""
 
@@ -71,37 +78,35 @@ class Splitter:
         self.e, self.max, self.overlap = encode, max_tokens, overlap
         self.room = max_tokens - overlap  # for what a piece adds to its forerunner
 
-    def split(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def split(self, text: str | None, measured: tuple[list[int], list[int]] | None = None) -> list[tuple[int, int, int, int]]:
         """(start, end, n_tokens, shared) of the pieces of a text beyond the limit, in characters; none for a text within it.
 
-        ``shared`` is how many characters at its start a piece shares with the one before.
+        ``shared`` is how many characters at its start a piece shares with the one before. ``measured``: what ``measure`` gives
+        for the text, if it is known already.
         """
         if not text:
             return []
-        starts, sizes = self._words(text)
-        if sum(sizes) <= self.max:
+        measured = measured or measure(self.e, text)
+        if sum(measured[1]) <= self.max:
             return []
+        starts, sizes = self._words(text, *measured)
         self.starts, self.sums = starts, [0, *accumulate(sizes)]
         cuts = self._snap(boundaries(text), starts)
         cores = self._pack(0, len(starts), cuts, 0, len(cuts))
         ends = [*starts, len(text)]
         return self._finish(text, [(ends[a], ends[b]) for a, b in cores])
 
-    def _words(self, text: str) -> tuple[list[int], list[int]]:
+    def _words(self, text: str, at: list[int], sizes: list[int]) -> tuple[list[int], list[int]]:
         """Starts and sizes of the tokenizer's pieces; those beyond the room are cut between tokens."""
-        starts, sizes = [], []
-        for m in self.e.cut.finditer(text):
-            size = len(self.e.piece(m.group()))
-            if size <= self.room:
-                starts.append(m.start())
-                sizes.append(size)
-                continue
-            at = m.start()
-            for part in self._run(m.group()):
-                starts.append(at)
-                sizes.append(self.e.count(part))
-                at += len(part)
-        return starts, sizes
+        if max(sizes) <= self.room:
+            return at, sizes
+        starts, out = [], []
+        for start, end, size in zip(at, [*at[1:], len(text)], sizes):
+            for part in [text[start:end]] if size <= self.room else self._run(text[start:end]):
+                starts.append(start)
+                out.append(size if size <= self.room else self.e.count(part))
+                start += len(part)
+        return starts, out
 
     def _run(self, run: str) -> list[str]:
         """An unbroken run in parts of at most ``room`` tokens."""
@@ -222,8 +227,11 @@ def split_documents(documents: DataFrame, limits: list[tuple[str, str, int, int]
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_py()
+                known: dict = {}
                 for name, cutter in cutters:
-                    for k, (a, b, n, shared) in enumerate(cutter.split(text)):
+                    if text and id(cutter.e) not in known:
+                        known[id(cutter.e)] = measure(cutter.e, text)
+                    for k, (a, b, n, shared) in enumerate(cutter.split(text, known.get(id(cutter.e)))):
                         rows.append((name, doc_id, k, a, b, n, cutter.e.count(text[a : a + shared]), text[a:b]))
                 if len(rows) > 5_000:
                     yield _batch(rows, names, batch["doc_id"].type)
