@@ -25,6 +25,11 @@ SLICE_DAYS = 7
 _KEY = ["target", "key"]
 
 
+def _present(field: str) -> Column:
+    """The key of a field, rows without one left out; as a generator, so that no filter has the key made twice."""
+    return F.explode(F.array_compact(F.array(reference_key(F.col(field))))).alias("key")
+
+
 def references(df: DataFrame, table: str, field: str, target: Column | str, at: str = "loaded_at", row_id: str = "row_id") -> DataFrame:
     """References of one column: (table_name, row_id, field_name, target, key, t).
 
@@ -33,8 +38,8 @@ def references(df: DataFrame, table: str, field: str, target: Column | str, at:
     """
     aim = F.lit(target) if isinstance(target, str) else target
     return df.select(
-        F.lit(table).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.lit(field).alias("field_name"), aim.alias("target"), reference_key(F.col(field)).alias("key"), F.col(at).alias("t")
-    ).where(F.col("key").isNotNull())
+        F.lit(table).alias("table_name"), F.col(row_id).cast("long").alias("row_id"), F.lit(field).alias("field_name"), aim.alias("target"), _present(field), F.col(at).alias("t")
+    )
 
 
 def parent_changes(df: DataFrame, target: str, field: str, loaded: str = "loaded_at", removed: str | None = None) -> DataFrame:
@@ -44,8 +49,8 @@ def parent_changes(df: DataFrame, target: str, field: str, loaded: str = "loaded
     or removed no later than loaded, never lives.
     """
     gone = F.col(removed) if removed else F.lit(None).cast(df.schema[loaded].dataType)
-    rows = df.select(reference_key(F.col(field)).alias("key"), F.col(loaded).alias("a"), gone.alias("b"))
-    rows = rows.where(F.col("key").isNotNull() & F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("b") > F.col("a"))))
+    alive = F.col(loaded).isNotNull() & (gone.isNull() | (gone > F.col(loaded)))
+    rows = df.where(alive).select(_present(field), F.col(loaded).alias("a"), gone.alias("b"))
     change = F.explode(F.filter(F.array(F.struct(F.col("a").alias("t"), F.lit(1).alias("delta")), F.struct(F.col("b").alias("t"), F.lit(-1).alias("delta"))), lambda x: x["t"].isNotNull()))
     return rows.select(F.lit(target).alias("target"), "key", change.alias("c")).select("target", "key", "c.t", "c.delta")
 
