@@ -108,9 +108,9 @@ def recurring_patterns(t: DataFrame, least: int = 3) -> DataFrame:
     Descriptions (txn_date, amount, description) are reduced to keys; like keys form a pattern. Only the distinct keys, far fewer
     than rows, are clustered in one task, in order of first appearance; rows are grouped by label afterwards.
     """
-    rows = t.select("txn_date", F.col("amount").cast("double").alias("amount"), clean.pattern_key(F.col("description")).alias("key")).where("txn_date IS NOT NULL AND abs(amount) >= 1 AND length(key) >= 3")
-    for note in NOTES:
-        rows = rows.where(~F.col("key").contains(note))
+    # The explode of one key keeps the filters on it from being pushed down and the key from being made for each of them.
+    rows = t.where("txn_date IS NOT NULL AND abs(amount) >= 1").select("txn_date", F.col("amount").cast("double").alias("amount"), F.explode(F.array(clean.pattern_key(F.col("description")))).alias("key"))
+    rows = rows.where((F.length("key") >= 3) & ~F.col("key").rlike("|".join(NOTES)))
     keys = rows.groupBy("key").agg(F.min("txn_date").alias("first"))
     labels = keys.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_leaders, "key string, label string")
     rows = rows.join(labels, "key").groupBy("label", "txn_date").agg(F.count(F.lit(1)).alias("k"), F.sum("amount").alias("sum"), F.min("amount").alias("lo"), F.max("amount").alias("hi"))
