@@ -16,7 +16,7 @@ TRANSFER_WORDS = ["INTERNAL TRANSFER", "SELF TRANSFER", "BANK TRANSFER", "INTER
 
 #: Flags by rank: the first that a transaction has is its type.
 FLAG_ORDER = [
-    "Manual Override", "International Txn", "Internal Transfer", "Batch MDR Payout", "LLM Assisted", "Exact UTR Match", "Order ID Match", "Exact Match", "Digit Transposition", "Duplicate Discrepancy",
+    "Manual Override", "International Txn", "Internal Transfer", "Batch MDR Payout", "Groq LLM Assisted", "Exact UTR Match", "Order ID Match", "Exact Match", "Digit Transposition", "Duplicate Discrepancy",
     "Unmatched UTR", "Standard Commercial",
 ]
 
@@ -78,9 +78,13 @@ def age_tier(days: Column) -> Column:
     return F.when(days <= 2, 0).when(days <= 7, 1).when(days <= 14, 2).otherwise(3)
 
 
+# The buckets of amount gaps.
+VARIANCE = ["₹0 (Exact)", "₹0–₹10", "₹10–₹100", "₹100–₹1,000", "₹1,000+"]
+
+
 def variance_bucket(gap: Column) -> Column:
     g = F.abs(gap)
-    return F.when(g == 0, "exact").when(g <= 10, "to 10").when(g <= 100, "to 100").when(g <= 1000, "to 1000").otherwise("more")
+    return F.when(g == 0, VARIANCE[0]).when(g <= 10, VARIANCE[1]).when(g <= 100, VARIANCE[2]).when(g <= 1000, VARIANCE[3]).otherwise(VARIANCE[4])
 
 
 def feature_flags(currency: Column, description: Column, status: Column, rule: Column, utr: Column, other_utr: Column, order: Column, other_order: Column, both_primary: Column, duplicate: Column) -> Column:
@@ -103,7 +107,7 @@ def feature_flags(currency: Column, description: Column, status: Column, rule: C
             F.when(counted & by_utr, "Exact UTR Match").when(counted & by_order, "Order ID Match").when(counted & exact, "Exact Match"),
             F.when(~done & (~good_u | st.isin("unreconciled", "exception", "unmatched")), "Unmatched UTR"),
             F.when(_has(r, ["mdr", "batch", "1-to-n", "fee", "solver"]), "Batch MDR Payout"),
-            F.when(_has(r, ["llm", "groq", "llama"]) | (st == "llm"), "LLM Assisted"),
+            F.when(_has(r, ["llm", "groq", "llama"]) | (st == "llm"), "Groq LLM Assisted"),
             F.when(_has(r, ["transposition", "digit", "tolerance"]), "Digit Transposition"),
             F.when(F.coalesce(duplicate, F.lit(False)), "Duplicate Discrepancy"),
         )

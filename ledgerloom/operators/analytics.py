@@ -70,7 +70,7 @@ def variance_histogram(t: DataFrame) -> DataFrame:
     """(bucket, n): resolved rows with a counterpart by the gap of amounts, open ones in the last bucket."""
     st = F.lower("status")
     bucket = F.when(st.isin(tx.RESOLVED_STATUSES) & F.col("counterpart_id").isNotNull(), tx.variance_bucket(F.abs("amount") - F.abs(F.coalesce("counterpart_amount", "amount"))))
-    bucket = bucket.when(st.isin("exception", "unmatched", "unreconciled", "manual"), "more")
+    bucket = bucket.when(st.isin("exception", "unmatched", "unreconciled", "manual"), tx.VARIANCE[4])
     return t.select(bucket.alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

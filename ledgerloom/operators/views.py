@@ -16,27 +16,27 @@ def decision_label(tax: Column, status: Column, stage: Column, decision: Column,
     st, sg, d, r, why, x = low(status), low(stage), low(decision), F.trim(F.coalesce(rule, F.lit(""))), F.trim(F.coalesce(reason, F.lit(""))), F.upper(F.trim(F.coalesce(tax, F.lit(""))))
     return (
         F.when(~F.lower(r).isin(_NO_RULE), F.concat(F.lit("Rule: "), F.substring(r, 1, 24)))
-        .when((sg == "exact") | st.isin("auto", "exact") | d.isin("auto", "exact"), "Exact reference")
-        .when((sg == "tolerance") | (st == "tolerance") | (d == "tolerance"), "Within tolerance")
-        .when((sg == "split") | (st == "split"), "Split settlement")
-        .when((sg == "ml") | (st == "ml"), F.concat(F.lit("Model"), F.when(score > 0, F.format_string(" (%.2f)", score)).otherwise("")))
-        .when((sg == "llm") | (st == "llm"), "Language model")
-        .when((sg == "manual") | st.isin("manual", "manual_review"), "Manual review")
-        .when(x == "SETTLED", "Automatic settlement")
-        .when(x == "MATCHED", "Parity match")
-        .when(x == "SIMILAR", "Similarity review")
+        .when((sg == "exact") | st.isin("auto", "exact") | d.isin("auto", "exact"), "Rule Engine: Exact UTR Match")
+        .when((sg == "tolerance") | (st == "tolerance") | (d == "tolerance"), "Rule Engine: Tolerance Match")
+        .when((sg == "split") | (st == "split"), "Rule Engine: Split Settlement")
+        .when((sg == "ml") | (st == "ml"), F.concat(F.lit("ML Model"), F.when(score > 0, F.format_string(" (%.2f)", score)).otherwise("")))
+        .when((sg == "llm") | (st == "llm"), "Groq LLM Agent")
+        .when((sg == "manual") | st.isin("manual", "manual_review"), "Manual Review Override")
+        .when(x == "SETTLED", "Automated Settlement")
+        .when(x == "MATCHED", "Rule Engine: Parity Match")
+        .when(x == "SIMILAR", "Similarity Engine Review")
         .when(~F.lower(why).isin([*_NO_RULE, "unmatched exception"]), F.substring(why, 1, 26))
-        .otherwise("Unmatched exception")
+        .otherwise("Unmatched Exception")
     )
 
 
 #: Tags by rank, the order in which they are offered.
 TAG_ORDER = [
-    "all", "settled", "auto", "similar", "exception", "unreconciled", "intl_txn", "internal_transfer", "manual_override", "exact_utr", "unmatched_utr", "batch_mdr", "llm_assisted", "digit_transposition", "duplicate_discrepancy", "llm", "ml",
+    "all", "settled", "auto", "similar", "exception", "unreconciled", "intl_txn", "internal_transfer", "manual_override", "exact_utr", "unmatched_utr", "batch_mdr", "groq_llm", "digit_transposition", "duplicate_discrepancy", "llm", "ml",
     "utr_mismatch", "utr_match", "date_gap", "amt_diff", "split_txn",
 ]
 _FLAG_TAGS = {
-    "Internal Transfer": "internal_transfer", "Manual Override": "manual_override", "Exact UTR Match": "exact_utr", "Unmatched UTR": "unmatched_utr", "Batch MDR Payout": "batch_mdr", "LLM Assisted": "llm_assisted",
+    "Internal Transfer": "internal_transfer", "Manual Override": "manual_override", "Exact UTR Match": "exact_utr", "Unmatched UTR": "unmatched_utr", "Batch MDR Payout": "batch_mdr", "Groq LLM Assisted": "groq_llm",
     "Digit Transposition": "digit_transposition", "Duplicate Discrepancy": "duplicate_discrepancy",
 }
 

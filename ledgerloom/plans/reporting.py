@@ -173,8 +173,8 @@ SQL = {
  CASE WHEN regexp_matches(rule, 'no candidate|no match|overlap') THEN 'Missing Transaction' END], lambda x: x IS NOT NULL) AS l FROM O)) SELECT reason, count(*) AS n FROM R GROUP BY 1""", reason="s", n="n",
     ),
     "variance_histogram": typed(
-        f"""{WITH_T}, B AS (SELECT CASE WHEN {DONE} AND counterpart_id IS NOT NULL THEN CASE WHEN g = 0 THEN 'exact' WHEN g <= 10 THEN 'to 10' WHEN g <= 100 THEN 'to 100' WHEN g <= 1000 THEN 'to 1000' ELSE 'more' END
- WHEN lower(status) IN ('exception', 'unmatched', 'unreconciled', 'manual') THEN 'more' END AS bucket FROM (SELECT *, abs(abs(amount) - abs(coalesce(counterpart_amount, amount))) AS g FROM T)) SELECT bucket, count(*) AS n FROM B WHERE bucket IS NOT NULL GROUP BY 1""", bucket="s", n="n",
+        f"""{WITH_T}, B AS (SELECT CASE WHEN {DONE} AND counterpart_id IS NOT NULL THEN CASE WHEN g = 0 THEN '₹0 (Exact)' WHEN g <= 10 THEN '₹0–₹10' WHEN g <= 100 THEN '₹10–₹100' WHEN g <= 1000 THEN '₹100–₹1,000' ELSE '₹1,000+' END
+ WHEN lower(status) IN ('exception', 'unmatched', 'unreconciled', 'manual') THEN '₹1,000+' END AS bucket FROM (SELECT *, abs(abs(amount) - abs(coalesce(counterpart_amount, amount))) AS g FROM T)) SELECT bucket, count(*) AS n FROM B WHERE bucket IS NOT NULL GROUP BY 1""", bucket="s", n="n",
     ),
     "risk_matrix": typed(
         f"""{WITH_T}, G AS (SELECT a.i AS amount_tier, b.i AS age_tier FROM range(4) a(i), range(4) b(i)), O AS (SELECT *, CASE WHEN abs(amount) < 1000 THEN 0 WHEN abs(amount) < 10000 THEN 1 WHEN abs(amount) < 100000 THEN 2 ELSE 3 END AS tier,

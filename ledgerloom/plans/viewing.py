@@ -63,8 +63,8 @@ _TAGS = f"""{_FLAG_SQL}, Q AS (SELECT T.id, T.amount, T.txn_date, list_filter(['
 _RANK = "[" + ", ".join(f"'{t}'" for t in views.TAG_ORDER) + "]"
 SQL = {
     "engine_decision": f"""{WITH_T}, L AS (SELECT *, CASE k % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'ml' WHEN 2 THEN 'split' ELSE 'none' END AS stage FROM T)
- SELECT id, CASE WHEN k % 3 = 0 THEN concat('Rule: ', rule[1:24]) WHEN stage = 'exact' THEN 'Exact reference' WHEN stage = 'split' THEN 'Split settlement' WHEN stage = 'ml' THEN concat('Model', CASE WHEN score > 0 THEN printf(' (%.2f)', score) ELSE '' END)
- WHEN lower(status) = 'manual' THEN 'Manual review' ELSE CASE {TAX} WHEN 'SETTLED' THEN 'Automatic settlement' WHEN 'MATCHED' THEN 'Parity match' WHEN 'SIMILAR' THEN 'Similarity review' ELSE 'amounts differ by more th' END END AS label FROM L""".replace("'amounts differ by more th'", "'amounts differ by more than is allowed'[1:26]"),
+ SELECT id, CASE WHEN k % 3 = 0 THEN concat('Rule: ', rule[1:24]) WHEN stage = 'exact' THEN 'Rule Engine: Exact UTR Match' WHEN stage = 'split' THEN 'Rule Engine: Split Settlement' WHEN stage = 'ml' THEN concat('ML Model', CASE WHEN score > 0 THEN printf(' (%.2f)', score) ELSE '' END)
+ WHEN lower(status) = 'manual' THEN 'Manual Review Override' ELSE CASE {TAX} WHEN 'SETTLED' THEN 'Automated Settlement' WHEN 'MATCHED' THEN 'Rule Engine: Parity Match' WHEN 'SIMILAR' THEN 'Similarity Engine Review' ELSE 'amounts differ by more th' END END AS label FROM L""".replace("'amounts differ by more th'", "'amounts differ by more than is allowed'[1:26]"),
     "ui_tags": f"{_TAGS} SELECT id, array_to_string(tags, '|') AS tags FROM Q",
     "ui_tag_bar": typed(f"{_TAGS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM Q) GROUP BY 1 ORDER BY list_position({_RANK}, tag) LIMIT 8", tag="s", n="n"),
     "ui_filter": f"{_TAGS} SELECT id FROM Q WHERE amount > 0 AND list_contains(tags, 'amt_diff') AND strftime(txn_date, '%Y-') = '1997-'",
