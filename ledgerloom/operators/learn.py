@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,12 +16,12 @@ FEATURES = [
 _TEXTUAL = ["utr_similarity", "rrn_similarity", "customer_name_similarity", "vpa_similarity", "narration_similarity"]
 
 
-def pair_features(pairs: DataFrame, textual: bool = True) -> DataFrame:
+def pair_features(pairs: DataFrame, textual: bool = True, beside: tuple[Column, ...] = ()) -> DataFrame:
     """settlement_id, bank_transaction_id and the features of pairs of rows ``s_...`` (settlement) and ``b_...`` (bank).
 
     Columns: id, amount, txn_date, utr, rrn, order_id, settlement_id, gateway_reference, auth_code, customer_name, vpa, description,
     currency, direction, status, gross_amount, fee_amount, tax_amount; missing ones count as null. With ``textual`` False the five likenesses that
-    need Python are left out, and everything stays in the JVM.
+    need Python are left out, and everything stays in the JVM. ``beside``: further columns of the pairs to carry along.
     """
     have = set(pairs.columns)
     c = lambda name, kind="string": (F.col(name) if name in have else F.lit(None)).cast(kind)
@@ -52,7 +52,7 @@ def pair_features(pairs: DataFrame, textual: bool = True) -> DataFrame:
             "vpa_similarity": like(c("s_vpa"), c("b_vpa")), "narration_similarity": like(F.coalesce(c("s_description"), c("s_utr")), F.coalesce(c("b_description"), c("b_utr"))),
         }
     label = [F.col("label")] if "label" in have else []
-    return pairs.select(c("s_id").alias("settlement_id"), c("b_id").alias("bank_transaction_id"), *[f[n].alias(n) for n in FEATURES if n in f], *label)
+    return pairs.select(c("s_id").alias("settlement_id"), c("b_id").alias("bank_transaction_id"), *[f[n].alias(n) for n in FEATURES if n in f], *label, *beside)
 
 
 def check_features(df: DataFrame) -> None:
@@ -63,10 +63,20 @@ def check_features(df: DataFrame) -> None:
 
 
 def weak_label(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``label``: 1 for an equal reference or order, or amounts within 15 % and dates within a week."""
-    f = pair_features(pairs, textual=False)
+    """Pairs with ``label``: 1 for an equal reference or order, amounts within 15 % and dates within a week, or narrations alike by 0.60.
+
+    The narration is the description, else the customer's name (settlements only), else the reference; the likeness is computed
+    only for pairs that the other rules leave at 0.
+    """
+    have = set(pairs.columns)
+    c = lambda n: F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) if n in have else F.lit(None).cast("string")
+    ref = lambda n: F.nullif(clean.feature_text(c(n)), F.lit(""))
+    left, right = F.coalesce(c("s_description"), c("s_customer_name"), ref("s_utr")), F.coalesce(c("b_description"), ref("b_utr"))
+    f = pair_features(pairs, textual=False, beside=(left.alias("__left"), right.alias("__right")))
     hit = (F.col("utr_match") == 1) | (F.col("order_id_exact") == 1) | ((F.col("amount_difference_pct") <= 0.15) & (F.col("date_difference_days") <= 7))
-    return f.withColumn("label", hit.cast("int"))
+    # The sequence ratio of an empty text costs nothing.
+    like = text.narration_similarity(F.when(hit, F.lit("")).otherwise(F.col("__left")), F.when(hit, F.lit("")).otherwise(F.col("__right")))
+    return f.withColumn("label", (hit | (like >= 0.60)).cast("int")).drop("__left", "__right")
 
 
 def label_by_truth(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -166,3 +166,13 @@ def test_streams(spark, tmp_path):
     total = incremental.daily_totals(incremental.read_folder(spark, str(tmp_path / "in"), schema))
     incremental.run_into(total, str(tmp_path / "days"), str(tmp_path / "cp2")).awaitTermination()
     assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "days")).collect()) >= 2
+
+
+def test_weak_label_reads_narrations(spark):
+    from ledgerloom.operators import learn
+
+    rows = [("s1", "b1", "rent hall north", "rent hall", 10.0), ("s2", "b2", "alpha", "quite other words", 10.0), ("s3", "b3", None, None, 10.0), ("s4", "b4", "alpha", "zzz", 900.0)]
+    pairs = spark.createDataFrame(rows, "s_id string, b_id string, s_description string, b_description string, s_amount double").withColumn("b_amount", F.lit(900.0))
+    pairs = pairs.withColumns({"s_txn_date": F.lit("2026-01-05"), "b_txn_date": F.lit("2026-01-06")})
+    got = learn.weak_label(pairs)
+    assert {r["settlement_id"]: r["label"] for r in got.collect()} == {"s1": 1, "s2": 0, "s3": 0, "s4": 1} and "__left" not in got.columns
