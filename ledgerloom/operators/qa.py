@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, taxonomy, text
 from .analytics import lookup
+from .contain import contained
 
 
 def run_view(records: DataFrame, results: DataFrame, period_settled: bool = False) -> DataFrame:
@@ -28,20 +29,26 @@ def run_view(records: DataFrame, results: DataFrame, period_settled: bool = Fals
 
 
 def smart_match(targets: DataFrame, candidates: DataFrame, amount: float = 5.0, days: int = 14) -> DataFrame:
-    """(id, other_id, amount_gap, day_gap): for every target (id, amount, txn_date, utr) the nearest candidate by amount, then date, then id.
+    """(id, other_id, amount_gap, day_gap): for every target (id, amount, txn_date, utr, description) the nearest candidate by amount, then date, then id.
 
-    A candidate is within ``amount`` and ``days``, or has the same reference. Found by cells of amount and time and by the reference.
+    A candidate is within ``amount`` and ``days``, or has the same reference, or its reference (utr, else bank_transaction_id,
+    settlement_id, order_id) stands in the target's description or the other way round, whatever the case. Found by cells of amount
+    and time, by the reference and by stretches of the texts. Missing columns count as null; a missing amount comes last.
     """
     cell = lambda c: F.floor(F.abs(F.col(c)) / amount).cast("long")
     slot = lambda c: F.floor(F.unix_date(F.col(c)) / (days + 1)).cast("int")
     ref = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
-    t = targets.select(F.col("id"), F.col("amount").alias("ta"), F.col("txn_date").alias("td"), ref("utr").alias("tr"))
-    c = candidates.select(F.col("id").alias("other_id"), F.col("amount").alias("ca"), F.col("txn_date").alias("cd"), ref("utr").alias("cr"))
+    known = lambda df, *names: F.coalesce(*[ref(n) for n in names if n in df.columns], F.lit(None).cast("string"))
+    t = targets.select(F.col("id"), F.col("amount").alias("ta"), F.col("txn_date").alias("td"), ref("utr").alias("tr"), known(targets, "description").alias("tt"))
+    c = candidates.select(F.col("id").alias("other_id"), F.col("amount").alias("ca"), F.col("txn_date").alias("cd"), ref("utr").alias("cr"), known(candidates, "utr", "bank_transaction_id", "settlement_id", "order_id").alias("ct"))
     near = t.withColumn("cell", F.explode(F.sequence(cell("ta") - 1, cell("ta") + 1))).withColumn("slot", F.explode(F.sequence(slot("td") - 1, slot("td") + 1)))
     near = near.join(c.withColumn("cell", cell("ca")).withColumn("slot", slot("cd")), ["cell", "slot"]).where((F.abs(F.col("ta") - F.col("ca")) <= amount) & (F.abs(F.datediff("td", "cd")) <= days)).drop("cell", "slot")
     same = t.join(c, F.col("tr") == F.col("cr"))
-    both = near.unionByName(same).where("id <> other_id")
-    best = both.groupBy("id").agg(F.min(F.struct(F.abs(F.col("ta") - F.col("ca")).alias("amount_gap"), F.coalesce(F.abs(F.datediff("td", "cd")), F.lit(999)).alias("day_gap"), "other_id")).alias("b"))
+    texts, refs = t.select(F.col("tt").alias("x")), c.select(F.col("ct").alias("x"))
+    said = contained(texts.toDF("whole"), refs.toDF("part"), 1).toDF("tt", "ct").unionByName(contained(refs.toDF("whole"), texts.toDF("part"), 1).toDF("ct", "tt")).distinct()
+    both = near.unionByName(same).unionByName(said.join(t, "tt").join(c, "ct")).where("id <> other_id")
+    gap = F.abs(F.col("ta") - F.col("ca"))
+    best = both.groupBy("id").agg(F.min(F.struct(gap.isNull().alias("unknown"), gap.alias("amount_gap"), F.coalesce(F.abs(F.datediff("td", "cd")), F.lit(999)).alias("day_gap"), "other_id")).alias("b"))
     return best.select("id", "b.other_id", "b.amount_gap", "b.day_gap")
 
 

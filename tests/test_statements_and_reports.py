@@ -176,3 +176,13 @@ def test_weak_label_reads_narrations(spark):
     pairs = pairs.withColumns({"s_txn_date": F.lit("2026-01-05"), "b_txn_date": F.lit("2026-01-06")})
     got = learn.weak_label(pairs)
     assert {r["settlement_id"]: r["label"] for r in got.collect()} == {"s1": 1, "s2": 0, "s3": 0, "s4": 1} and "__left" not in got.columns
+
+
+def test_smart_match_reads_descriptions(spark):
+    from ledgerloom.operators import qa
+
+    kinds = "id string, amount double, txn_date string, utr string, description string, order_id string"
+    t = spark.createDataFrame([("t1", 100.0, "2026-01-05", None, "paid for ord-7781x", None), ("t2", 5.0, "2026-01-05", None, "B55", None), ("t3", 7.0, "2026-01-05", None, "alone", None)], kinds)
+    c = spark.createDataFrame([("c1", 900.0, "2026-06-05", None, None, "ORD-7781"), ("c2", None, "2026-06-05", "ab55c", None, None), ("c3", 500.0, "2026-06-05", "ORD", None, "alone")], kinds)
+    day = lambda df: df.withColumn("txn_date", F.to_date("txn_date"))
+    assert sorted((r["id"], r["other_id"], r["amount_gap"]) for r in qa.smart_match(day(t), day(c)).collect()) == [("t1", "c3", 400.0), ("t2", "c2", None)]
