@@ -77,6 +77,7 @@ class Splitter:
             raise ValueError("the overlap must be smaller than the limit")
         self.e, self.max, self.overlap = encode, max_tokens, overlap
         self.room = max_tokens - overlap  # for what a piece adds to its forerunner
+        self.longest = max(map(len, encode.ranks))  # characters of a token at most
 
     def split(self, text: str | None, measured: tuple[list[int], list[int]] | None = None) -> list[tuple[int, int, int, int]]:
         """(start, end, n_tokens, shared) of the pieces of a text beyond the limit, in characters; none for a text within it.
@@ -173,24 +174,32 @@ class Splitter:
         if missing > 0 and first > 0 and self.starts[first - 1] >= lowest:  # some tokens of the word before
             word = text[self.starts[first - 1] : start]
             guess = len(b"".join(self.e.merge(word.encode())[-missing:]).decode(errors="ignore"))
-            for size in sorted(range(1, len(word)), key=lambda k: abs(k - guess))[:40]:
-                if self.e.count(word[-size:]) == missing:
+            # No token is longer than the longest, so a suffix of ``missing`` tokens isn't longer than so many of these.
+            most, best = min(len(word) - 1, missing * self.longest), (0, 0)
+            for size in sorted(range(1, most + 1), key=lambda k: abs(k - guess)):
+                n = self.e.count(word[-size:])
+                if n == missing:
                     return start - size
+                if n < missing:
+                    best = max(best, (n, size))
+            return start - best[1]
         return start
 
     def _shared_starts(self, text: str, lowest: int, end: int) -> Iterator[int]:
         """Starts to share ``overlap`` tokens of the text before ``end``, best first; the last leaves the piece within the limit."""
         if self.overlap:
-            tokens, first = self.overlap, None
+            tokens, first, best = self.overlap, None, None
             for _ in range(3):
                 start = self._back(text, lowest, end, tokens)
                 first = start if first is None else first
-                short = self.overlap - self.e.count(text[start:end])  # white space at the end of a text has fewer tokens
-                if short <= 0:
+                shared = self.e.count(text[start:end])  # white space at the end of a text has fewer tokens
+                if shared <= self.overlap:
+                    best = max(best or (shared, start), (shared, start), key=lambda x: x[0])
+                if shared >= self.overlap:
                     break
-                tokens += short
-            if short == 0:
-                yield start
+                tokens += self.overlap - shared
+            if best:
+                yield best[1]
             yield first
             w = bisect_left(self.starts, end)
             yield max(self.starts[min(bisect_left(self.sums, self.sums[w] - self.overlap), w - 1)], lowest)

@@ -69,3 +69,14 @@ def test_documents(spark):
     assert all(r["piece"] == texts[r["doc_id"]][r["start"] : r["end"]] for r in rows)
     assert sorted(r["doc_id"] for r in oversized(df, limits, "small").collect()) == [3, 4, 5]
     assert split_documents(df.limit(0), limits).count() == 0
+
+
+def test_overlap_is_the_most_below_it():
+    text = "".join(f"第{k}番は二重に請求されました。手数料と税金は別々に計上されています。" for k in range(30))
+    for overlap in (11, 12, 14, 16):
+        pieces = Splitter(E, 60, overlap).split(text)
+        for (before, *_), (a, b, _, shared) in zip(pieces, pieces[1:]):
+            end = a + shared
+            # Tokens of every start from the piece before on that leaves this piece within the limit.
+            can = [n for n in (E.count(text[x:end]) for x in range(before, end + 1) if E.count(text[x:b]) <= 60) if n <= overlap]
+            assert E.count(text[a:end]) == max(can)
