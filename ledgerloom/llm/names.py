@@ -3,7 +3,7 @@
 Every canonical rewriting of a name is generated: titles and legal forms set apart, tokens in any order, nicknames and
 short forms resolved, a first name as its initial, one character left out of a token (two spellings that are one slip
 apart share such a form). The forms are exploded and equi-joined; a pair that shares one is verified and scored by what
-the rewriting costs and by how rare it is, that is, by how many parties share the form.
+the rewriting costs. Of rival readings of one tier of cost, the party with the most rows counts, not the rarest form.
 
 Work is done on distinct names only. Whatever number of rows a name has, they are counted before anything is shuffled.
 """
