@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder of our own is made and set.
+    Only where that setting is absent and everything runs on one machine (tests, a laptop) a folder of our own is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,6 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,7 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
-from ledgerloom.operators.orphans import OrphanState, opened_on_arrival, parent_changes, references, waiting_by_period
+import pytest
+
+from ledgerloom.operators.orphans import OrphanState, opened_on_arrival, parent_changes, references, run_turns
 
 T0 = datetime(2025, 1, 1)
 REFS = "row_id long, ref string, loaded_at timestamp_ntz, extra string"
@@ -36,8 +38,8 @@ def frames(spark, refs, parents):
 def test_opened_is_brute_force(spark):
     for seed in (1, 2):
         refs, parents = made(seed)
-        for days in (1, 7, 400):
-            got = opened_on_arrival(*frames(spark, refs, parents), slice_days=days)
+        for seconds in (900, 3600, 40 * 86400):
+            got = opened_on_arrival(*frames(spark, refs, parents), slice_seconds=seconds)
             assert sorted(r["row_id"] for r in got.collect()) == brute(refs, parents)
 
 
@@ -48,31 +50,52 @@ def test_same_moment_and_never_alive(spark):
     assert sorted(r["row_id"] for r in got.collect()) == [2, 3, 4]
 
 
-def test_batches_are_one_run(spark, tmp_path):
+def test_turns_are_one_run_over_restarts(spark, tmp_path):
     refs, parents = made(3)
     refs = [r for r in refs if r[2] is not None]
     r, c = frames(spark, refs, parents)
-    state, found = OrphanState(spark, str(tmp_path)), []
     cuts = [T0 + timedelta(days=d) for d in (0, 11, 29, 80)]
     for a, b in zip(cuts, cuts[1:]):
-        part = lambda df: df.where((df["t"] >= a) & (df["t"] < b))
-        found += [x["row_id"] for x in state.advance(part(r), part(c)).collect()]
-    assert sorted(found) == brute(refs, parents)
-    end = cuts[-1]
-    late = [(i, v, end, x) for i, v, _, x in refs]
+        state = OrphanState(spark, str(tmp_path / "s"))  # each turn by a new object that knows the folder only
+        part = lambda df: df.where((df["t"] >= a) & (df["t"] < b))  # noqa: B023, E731
+        state.advance(part(r), part(c))
+    assert sorted(x["row_id"] for x in OrphanState(spark, str(tmp_path / "s")).opened().collect()) == brute(refs, parents)
+    late = [(i, v, cuts[-1], x) for i, v, _, x in refs]
     assert sorted(x["row_id"] for x in state.waiting().collect()) == brute(late, parents)
+    assert sum(x["n_opened"] for x in state.snapshots().collect()) == len(brute(refs, parents))
+
+
+def test_broken_turn_counts_for_nothing(spark, tmp_path):
+    refs, parents = made(5)
+    refs = [r for r in refs if r[2] is not None]
+    r, c = frames(spark, refs, parents)
+    state = OrphanState(spark, str(tmp_path / "s"))
+    with pytest.raises(RuntimeError), state.state.turn():
+        state.state.append(live=c.select("target", "key", c["delta"].cast("long").alias("delta")))
+        raise RuntimeError
+    state.advance(r, c)
+    assert sorted(x["row_id"] for x in state.opened().collect()) == brute(refs, parents)
+    with pytest.raises(ValueError):
+        state.state.append(live=c)
 
 
-def test_waiting_counts(spark):
+def test_snapshots_and_going_on(spark, tmp_path):
     refs, parents = made(4)
     refs = [r for r in refs if r[2] is not None]
-    got = {r["period"]: r["n_waiting"] for r in waiting_by_period(*frames(spark, refs, parents), period_days=7).collect()}
+    r, c = frames(spark, refs, parents)
+    half = T0 + timedelta(days=29)  # a turn begins here
+    run_turns(spark, r.where(r["t"] < half), c.where(c["t"] < half), str(tmp_path / "s"), 7)
+    state = run_turns(spark, r, c, str(tmp_path / "s"), 7)
+    assert len(state.state.taken()) > 8
+    ends = {k: datetime.fromisoformat(note["start"]) + timedelta(days=7, microseconds=-1) for k, note in state.state.taken().items()}
+    got = {x["turn"]: x["n_waiting"] for x in state.snapshots().collect()}
     assert got
-    for period, n in got.items():
-        end = datetime(period.year, period.month, period.day) + timedelta(days=7, microseconds=-1)
-        assert n == len(brute([(i, v, end, x) for i, v, t, x in refs if t <= end], parents))
+    for turn, n in got.items():
+        assert n == len(brute([(i, v, ends[turn], x) for i, v, t, x in refs if t <= ends[turn]], parents))
 
 
-def test_empty(spark):
+def test_empty(spark, tmp_path):
     r, c = frames(spark, [], [])
-    assert opened_on_arrival(r, c).count() == 0 and waiting_by_period(r, c).count() == 0
+    assert opened_on_arrival(r, c).count() == 0
+    state = run_turns(spark, r, c, str(tmp_path / "s"))
+    assert state.opened().count() == 0 and state.snapshots().count() == 0 and state.waiting().count() == 0
