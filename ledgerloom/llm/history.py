@@ -1,27 +1,32 @@
 """Problem 5: deduplicating new batches against all history.
 
-A segment index for edit distance: every accepted number is stored by segments, keyed by the number's length and the
-segment's position. A batch probes the index with the matching substrings of its own numbers, candidates are verified
-with a bounded edit distance, and the batch's segments are appended.
+A segment index for edit distance: every accepted number is stored by segments, keyed by position and length. A batch
+probes the index with the matching substrings of its own numbers, candidates are verified with a bounded edit distance,
+and the batch's segments are appended.
 
 A number is cut into three segments, the outer two of equal length and the middle one of at least two characters.
 One slip (a character changed, dropped, added, or two neighbours swapped) can't touch both outer segments, so it is
 enough to store and probe these two; they lie at the start and at the end of the other number whatever its length.
+
+The index lies in bucket files by its key. A batch is shuffled to the buckets, what was accepted before is read where it
+lies and never moved, and only numbers whose account and amount were seen before, or occur again in the batch, probe it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import reference_key
 from ..operators.graph import components
-from ..session import cut
+from ..operators.state import State
+from ..session import cut, scratch_path
 
 _GROUP = ["table_name", "account", "cents"]
 _NODE = [*_GROUP, "field", "num"]
+_PLACE = ["segment", *_GROUP, "field"]
+#: Weekly deliveries that are taken in together when history is accepted from its beginning.
+DELIVERIES = 26
 
 
 def one_slip(a: Column, b: Column) -> Column:
@@ -30,95 +35,86 @@ def one_slip(a: Column, b: Column) -> Column:
     return (a != b) & ((F.levenshtein(a, b, 1) == 1) | F.when((F.length(a) == F.length(b)) & (F.length(a) > 1), swaps).otherwise(False))
 
 
-def numbered(df: DataFrame, table: str, money: str, fields: list[str]) -> DataFrame:
-    """Rows as the index takes them: table_name, row_id, account, cents, numbers (struct of keys, one per field)."""
+def numbered(df: DataFrame, table: str, money: str, fields: list[str], *others: str) -> DataFrame:
+    """Rows as the index takes them: table_name, row_id, account, cents, numbers (an array of keys, one per field), and other columns."""
     keys = [reference_key(F.col(f)).alias(f"n{k}") for k, f in enumerate(fields)]
-    return df.select(F.lit(table).alias("table_name"), "row_id", F.col("merchant_id").alias("account"), (F.col(money) * 100).cast("long").alias("cents"), F.array(*keys).alias("numbers"))
+    return df.select(F.lit(table).alias("table_name"), "row_id", F.col("merchant_id").alias("account"), (F.col(money) * 100).cast("long").alias("cents"), F.array(*keys).alias("numbers"), *others)
 
 
 def _outer(length: Column) -> Column:
+    """Length of the outer segments of a number of so many characters."""
     return F.greatest(F.floor((length - 2) / 2), F.lit(0)).cast("int")
 
 
-def _segments(nodes: DataFrame, lengths: list[int]) -> DataFrame:
-    """(h, ...) per outer segment of stored numbers whose length differs from the node's by one of ``lengths``."""
-    size = F.length("num")
-    parts = []
-    for d in lengths:
-        length = size + d
-        for at, text in (("L", F.substr(F.col("num"), F.lit(1), _outer(length))), ("R", F.substr(F.col("num"), size - _outer(length) + 1))):
-            parts.append(F.when(length > 0, F.xxhash64("table_name", "account", "cents", "field", F.lit(at), length, text)))
-    return nodes.select(F.explode(F.array_compact(F.array(*parts))).alias("h"), *_NODE, "first")
+def _hashed(at: str, text: Column) -> Column:
+    """A segment as a number; its length is the text's."""
+    return F.hash(F.lit(at), text)
 
 
 def stored_segments(nodes: DataFrame) -> DataFrame:
-    return _segments(nodes, [0])
+    """(segment, node, first) of both outer segments of every number."""
+    n, size = F.col("num"), _outer(F.length("num"))
+    both = F.array(_hashed("L", F.substr(n, F.lit(1), size)), _hashed("R", F.substr(n, F.length(n) - size + 1)))
+    return nodes.select(F.explode(F.array_distinct(both)).alias("segment"), *_NODE, "first")
+
+
+def _probes(nodes: DataFrame) -> DataFrame:
+    """The substrings at which a number meets those one slip away: the outer segments of numbers as long, one shorter, one longer."""
+    n, length = F.col("num"), F.length("num")
+    parts = []
+    for d in (-1, 0, 1):
+        size = _outer(length + d)
+        parts += [_hashed("L", F.substr(n, F.lit(1), size)), _hashed("R", F.substr(n, length - size + 1))]
+    return nodes.select(F.explode(F.array_distinct(F.array(*parts))).alias("segment"), *_NODE, "first")
 
 
-@dataclass
 class History:
-    """What was accepted so far, in tables under ``path``; ``path`` None: nothing is kept between batches.
+    """What was accepted so far, in a folder that a new process goes on from.
 
-    nodes: one row per distinct number of an account and amount (table_name, account, cents, field, num, first), first
-    being the row that brought it first. segments: the nodes' segments. links: (table_name, b, a), a row and an earlier
-    one of the same transaction.
+    groups: the accounts and amounts seen, as hashes. index: (segment, table_name, account, cents, field, num, first), the
+    segments of every distinct number of an account and amount with the row that brought it first. links: (table_name, b, a),
+    a row and an earlier one of the same transaction.
     """
 
-    spark: SparkSession
-    path: str | None = None
-    _versions: list[str] = field(default_factory=list)
-
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{v}/{name}" for v in self._versions]) if self._versions else None
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        place = "segment INT, table_name STRING, account STRING, cents BIGINT, field INT"
+        self.state = State(spark, path, {"groups": ("g BIGINT", ["g"]), "index": (f"{place}, num STRING, first BIGINT", _PLACE), "links": ("table_name STRING, b BIGINT, a BIGINT", ["b"])}, buckets)
 
-    def accept(self, rows: DataFrame) -> DataFrame:
+    def accept(self, rows: DataFrame, note: dict | None = None) -> DataFrame:
         """Hold a batch (``numbered``) against history and itself, append it, return its links (table_name, b, a).
 
-        Rows without account or money are never repeats. An account and amount that occur once over batch and history
-        have nothing to be compared with and only go into the index.
+        Rows without account or money are never repeats and aren't stored.
         """
-        rows = rows.where(F.col("account").isNotNull() & F.col("cents").isNotNull())
-        known = self._read("nodes")
-        kept = rows if self.path else self._shared_groups(rows)
-        each = kept.select("table_name", "row_id", "account", "cents", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
-        each = cut(each)
-        own = each.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        if known is not None:
-            nodes = own.join(known.select(*_NODE, F.col("first").alias("old")), _NODE, "left")
-        else:
-            nodes = own.withColumn("old", F.lit(None).cast("long"))
-        nodes = cut(nodes)
-        # The same number again: rows that aren't the first of their node.
-        again = nodes.where("n > 1 OR old IS NOT NULL").select(*_NODE, F.coalesce("old", "first").alias("first"))
-        exact = each.join(again, _NODE).where("row_id <> first").select("table_name", F.col("row_id").alias("b"), F.col("first").alias("a"))
-        # A number but for one slip: probes of the batch's new numbers.
-        new = nodes.where("old IS NULL").select(*_NODE, "first")
-        stored = stored_segments(new)
-        past = self._read("segments")
-        index = stored if past is None else stored.unionByName(past)
-        probe = _segments(new, [-1, 0, 1])
-        i, p = index.alias("i"), probe.alias("p")
-        same = [F.col(f"i.{c}") == F.col(f"p.{c}") for c in [*_GROUP, "field"]]
-        near = i.join(p, F.col("i.h") == F.col("p.h")).where(same[0] & same[1] & same[2] & same[3] & (F.col("i.first") < F.col("p.first")) & one_slip(F.col("i.num"), F.col("p.num")))
-        links = exact.unionByName(near.select("p.table_name", F.col("p.first").alias("b"), F.col("i.first").alias("a")))
-        if self.path is None:
-            return cut(links)
-        to = f"{self.path}/batch-{len(self._versions)}"
-        links.write.mode("overwrite").parquet(f"{to}/links")
-        new.write.mode("overwrite").parquet(f"{to}/nodes")
-        stored.write.mode("overwrite").parquet(f"{to}/segments")
-        self._versions.append(to)
-        return self.spark.read.parquet(f"{to}/links")
-
-    @staticmethod
-    def _shared_groups(rows: DataFrame) -> DataFrame:
-        """Rows whose account and amount occur again (or share the group's hash with others, which does no harm)."""
-        rows = rows.withColumn("g", F.xxhash64(*_GROUP))
-        groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-        return rows.join(groups, "g", "left_semi").drop("g")
+        with self.state.turn() as left:
+            left |= note or {}
+            rows = rows.where(F.col("account").isNotNull() & F.col("cents").isNotNull()).withColumn("account", F.col("account").cast("string")).withColumn("g", F.xxhash64(*_GROUP))
+            groups = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash").join(self.state.log("groups").select("g", F.lit(True).alias("old")), "g", "left"))
+            # Hashes that groups share do no harm: numbers of different groups never meet.
+            shared = groups.where("n > 1 OR old").select("g")
+            each = rows.select("table_name", "row_id", "account", "cents", "g", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
+            busy = each.join(shared, "g", "left_semi")
+            nodes = cut(busy.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")))
+            own = nodes.select(_hashed("L", F.substr(F.col("num"), F.lit(1), _outer(F.length("num")))).alias("segment"), *_NODE)
+            known = own.hint("shuffle_hash").join(self.state.log("index").select(*_PLACE, "num", F.col("first").alias("old")), [*_PLACE, "num"]).groupBy(*_NODE).agg(F.min("old").alias("old"))
+            nodes = cut(nodes.join(known, _NODE, "left"))
+            new = nodes.where("old IS NULL").select(*_NODE, "first")
+            # A number of an account and amount that occur once is a number of its own.
+            lone = each.join(shared, "g", "left_anti").select(*_NODE, F.col("row_id").alias("first"))
+            self.state.append(index=stored_segments(new.unionByName(lone)), groups=groups.where("old IS NULL").select("g"))
+            # The same number again: rows that aren't the first of their node.
+            again = nodes.where("n > 1 OR old IS NOT NULL").select(*_NODE, F.coalesce("old", "first").alias("first"))
+            exact = busy.join(again, _NODE).where("row_id <> first").select("table_name", F.col("row_id").alias("b"), F.col("first").alias("a"))
+            # A number but for one slip: probes of the batch's new numbers.
+            held = self.state.log("index").select(*_PLACE, F.col("num").alias("known"), F.col("first").alias("a"), "turn")
+            met = _probes(new).hint("shuffle_hash").join(held, _PLACE).where((F.col("turn") < self.state.now) | (F.col("a") < F.col("first"))).where(one_slip(F.col("known"), F.col("num")))
+            near = met.select("table_name", F.greatest("a", "first").alias("b"), F.least("a", "first").alias("a"))
+            self.state.append(links=exact.unionByName(near))
+            now = self.state.now
+        return self.links().where(F.col("turn") == now).drop("turn")
 
     def links(self) -> DataFrame:
-        return self._read("links")
+        """All links so far, with the turn that found them."""
+        return self.state.log("links")
 
 
 def first_rows(links: DataFrame) -> DataFrame:
@@ -139,7 +135,20 @@ def first_rows(links: DataFrame) -> DataFrame:
     return out.unionByName(late).where("row_id_a < row_id_b").distinct()
 
 
+def accept_deliveries(rows: DataFrame, history: History, of: str = "batch_no", at_once: int = DELIVERIES) -> None:
+    """Has ``rows`` accepted delivery by delivery, ``at_once`` of them a turn; turns taken in already are passed over. Rows without a delivery count as of delivery 0."""
+    rows = rows.withColumn(of, F.coalesce(of, F.lit(0)))
+    turn = F.floor(F.col(of) / at_once).cast("int")
+    done = max((note.get("number", -1) for note in history.state.taken().values()), default=None)
+    # One number per turn.
+    numbers = sorted(r["n"] for r in rows.select(turn.alias("n")).distinct().collect() if r["n"] is not None and (done is None or r["n"] > done))
+    for k in numbers:
+        history.accept(rows.where((F.col(of) >= k * at_once) & (F.col(of) < (k + 1) * at_once)).drop(of), {"number": k})
+
+
 def repeats_found(upi: DataFrame, gateway: DataFrame) -> DataFrame:
-    """(table_name, row_id_a, row_id_b) of every wallet and gateway row that repeats a transaction."""
-    rows = numbered(upi, "upi_wallet_txns", "amount", ["transaction_id", "reference_utr"]).unionByName(numbered(gateway, "gateway_settlements", "net_amount", ["utr"]))
-    return first_rows(History(upi.sparkSession).accept(rows))
+    """(table_name, row_id_a, row_id_b) of every wallet and gateway row that repeats a transaction, the rows accepted by their deliveries."""
+    rows = numbered(upi, "upi_wallet_txns", "amount", ["transaction_id", "reference_utr"], "batch_no").unionByName(numbered(gateway, "gateway_settlements", "net_amount", ["utr"], "batch_no"))
+    history = History(upi.sparkSession, scratch_path(upi.sparkSession, "history"))
+    accept_deliveries(rows, history)
+    return first_rows(history.links().drop("turn"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.history import History, first_rows, numbered, one_slip
+from ledgerloom.llm.history import History, accept_deliveries, first_rows, numbered, one_slip
 
 SCHEMA = "row_id long, merchant_id string, amount decimal(18,2), tid string, utr string, h string"
 
@@ -75,19 +75,34 @@ def frame(spark, rows):
     return numbered(spark.createDataFrame([(i, m, None if a is None else round(a * 100) / 100, t, u, h) for i, m, a, t, u, h in rows], SCHEMA.replace("decimal(18,2)", "double")).withColumn("amount", F.col("amount").cast("decimal(18,2)")), "t", "amount", ["tid", "utr"])
 
 
-def test_one_run_is_brute_force(spark):
+def test_one_run_is_brute_force(spark, tmp_path):
     for seed in (1, 2):
         rows = made(seed)
-        assert sorted(map(tuple, first_rows(History(spark).accept(frame(spark, rows))).collect())) == brute(rows)
+        assert sorted(map(tuple, first_rows(History(spark, str(tmp_path / str(seed))).accept(frame(spark, rows))).collect())) == brute(rows)
 
 
-def test_batches_are_one_run(spark, tmp_path):
+def test_batches_are_one_run_over_restarts(spark, tmp_path):
     rows = made(3)
-    h = History(spark, str(tmp_path))
     for a, b in ((0, 90), (90, 91), (91, 220)):
-        h.accept(frame(spark, rows[a:b]))
-    assert sorted(map(tuple, first_rows(h.links()).collect())) == brute(rows)
-
-
-def test_empty(spark):
-    assert first_rows(History(spark).accept(frame(spark, []))).count() == 0
+        History(spark, str(tmp_path / "h")).accept(frame(spark, rows[a:b]))  # each batch by a new object that knows the folder only
+    kept = History(spark, str(tmp_path / "h"))
+    assert sorted(map(tuple, first_rows(kept.links().drop("turn")).collect())) == brute(rows)
+    # A number of an account and amount is stored once, however many batches bring it.
+    stored = kept.state.log("index").select("segment", "table_name", "account", "cents", "field", "num")
+    assert stored.count() == stored.distinct().count() > 0
+
+
+def test_deliveries(spark, tmp_path):
+    rows = made(4)
+    df = frame(spark, rows).withColumn("batch_no", F.when(F.col("row_id") >= 20, F.floor(F.col("row_id") / 20).cast("int")))
+    accept_deliveries(df.where("coalesce(batch_no, 0) < 6"), kept := History(spark, str(tmp_path / "h")), at_once=3)
+    accept_deliveries(df, kept, at_once=3)
+    assert len(kept.state.taken()) == 4
+    assert sorted(map(tuple, first_rows(kept.links().drop("turn")).collect())) == brute(rows)
+
+
+def test_empty(spark, tmp_path):
+    kept = History(spark, str(tmp_path / "h"))
+    assert first_rows(kept.accept(frame(spark, []))).count() == 0
+    accept_deliveries(frame(spark, []).withColumn("batch_no", F.lit(1)), kept)
+    assert kept.links().count() == 0
