@@ -21,7 +21,7 @@ from pyspark.sql.types import DataType, TimestampType
 
 from ..functions.keys import reference_key, squeeze
 from ..session import cut, remove, scratch_path
-from .state import State
+from .state import State, deal
 
 #: Seconds in a slice of time. The rows of one key in one slice meet in one task.
 SLICE_SECONDS = 3600
@@ -160,9 +160,7 @@ def run_turns(spark: SparkSession, refs: DataFrame, changes: DataFrame, path: st
     if done is not None:
         dealt = {name: df.where(F.col("of") > done) for name, df in dealt.items()}
     folder = scratch_path(spark, "dealt")
-    for name, df in dealt.items():
-        df.write.partitionBy("of").parquet(f"{folder}/{name}")
-        dealt[name] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    dealt = {name: deal(df, f"{folder}/{name}") for name, df in dealt.items()}
     # One number per turn.
     numbers = sorted(r["of"] for r in dealt["refs"].select("of").unionByName(dealt["changes"].select("of")).distinct().collect() if r["of"] is not None)
     for k in numbers or ([0] if done is None else []):
