@@ -10,7 +10,7 @@ from dataclasses import dataclass
 # Prefixes that a reference is stripped of, in this order, again and again.
 REFERENCE_PREFIXES = (
     "NEFTCR-", "NEFTCR", "NEFT-", "NEFT", "RTGSCR-", "RTGSCR", "RTGS-", "RTGS", "IMPSCR-", "IMPSCR", "IMPS-", "IMPS",
-    "UPI-", "UPI", "UTR-", "UTR", "GPAY-", "GPAY", "REF:", "REF-", "REF", "CARD-", "CARD", "AUTH-", "AUTH",
+    "UPI-", "UPI", "UTR-", "UTR", "GPAY-", "GPAY", "PAYTM-", "RAZORPAY-", "SETTLEMENT-", "INB-", "REF:", "REF-", "REF",
 )
 
 

@@ -17,6 +17,7 @@ DIRECTION = {
     "credit": "CREDIT", "cr": "CREDIT", "in": "CREDIT", "deposit": "CREDIT", "inflow": "CREDIT", "payin": "CREDIT",
     "debit": "DEBIT", "dr": "DEBIT", "out": "DEBIT", "withdrawal": "DEBIT", "outflow": "DEBIT", "payout": "DEBIT",
 }
+# Statuses that can't be matched, words for nothing, texts that are no identifiers.
 EXCLUDED_STATUSES = ["FAILED", "DECLINED", "CANCELLED", "PENDING", "REJECTED"]
 NULL_WORDS = ["", "nan", "none", "null", "undefined", "—", "-"]
 INVALID_IDS = ["", "nan", "none", "null", "unknown", "n/a", "na", "—", "-", "undefined"]
@@ -46,13 +47,18 @@ def valid_id(text: Column) -> Column:
     return F.coalesce(~F.lower(s).isin(INVALID_IDS) & ~dated, F.lit(False))
 
 
-def normal_reference(text: Column, prefixes: tuple[str, ...] = REFERENCE_PREFIXES, passes: int = 3) -> Column:
-    """Upper case, known prefixes stripped in list order (``passes`` times through the list), letters and digits only; "" for null."""
+#: Times through the list of prefixes that one look takes off; longer chains are taken off look by look.
+_AT_ONCE = 32
+
+
+def normal_reference(text: Column, prefixes: tuple[str, ...] = REFERENCE_PREFIXES) -> Column:
+    """Upper case, known prefixes stripped in list order, the list gone through until nothing changes, letters and digits only; "" for null."""
     s = F.upper(F.trim(F.coalesce(text, F.lit(""))))
-    once = "^" + "".join(f"(?:{_quoted(p)})?" for p in prefixes)
-    for _ in range(passes):
-        s = F.regexp_replace(s, once, "")
-    return F.regexp_replace(s, r"[^0-9A-Z]", "")
+    once = "".join(f"(?:{_quoted(p)})?" for p in prefixes)
+    s = F.regexp_replace(s, f"^(?:{once}){{1,{_AT_ONCE}}}", "")
+    starts = s.rlike("^(?:" + "|".join(_quoted(p) for p in prefixes) + ")")
+    rest = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), s, lambda left, _: F.regexp_replace(left, "^" + once, ""))
+    return F.regexp_replace(F.when(starts, rest).otherwise(s), r"[^\p{L}\p{N}]", "")
 
 
 def _quoted(prefix: str) -> str:
@@ -102,7 +108,7 @@ def content_hash(date: Column, net: Column, utr: Column, order: Column, descript
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-#: Identifiers in free text, first pattern that matches.
+# Identifiers in free text, first pattern that matches.
 ORDER_PATTERNS = [r"(?i)\b(ord_[a-zA-Z0-9_]+)\b", r"(?i)\b(order_[a-zA-Z0-9_]+)\b", r"(?i)\bORDER[_-]?([0-9]{4,10})\b"]
 UTR_PATTERNS = [r"(?i)\b(?:NEFT|UTR|RRN)?([A-Z0-9]{12,18})\b", r"(?i)\b(NEFT[A-Z0-9]+)\b", r"(?i)\b(RRN[0-9]{10,12})\b"]
 SETTLEMENT_PATTERNS = [r"(?i)\b(setl_[a-zA-Z0-9_]+)\b", r"(?i)\b(setl[0-9]+)\b"]

@@ -128,7 +128,7 @@ def canonical(df: DataFrame, mappings: list[Mapping], prefix: str = "TXN", row_n
     step = df.select(
         raw("transaction_id").alias("transaction_id"), F.trim(raw("transaction_date")).alias("transaction_date"), F.trim(raw("value_date")).alias("value_date"),
         *[money(f).alias(f) for f in sorted(MONEY_FIELDS)], F.trim(raw("description")).alias("description"), F.trim(raw("customer_name")).alias("customer_name"),
-        *[raw(f).alias("__" + f) for f in ("utr", "order_id", "settlement_id", "auth_code", "rrn", "currency", "status")], F.trim(raw("channel")).alias("channel"), number.cast("int").alias("source_row_number"),
+        *[raw(f).alias("__" + f) for f in ("utr", "order_id", "settlement_id", "auth_code", "rrn", "currency", "status")], F.trim(raw("channel")).alias("channel"), number.cast("long").alias("source_row_number"),
     )
     zero = F.lit(0).cast("decimal(18,2)")
     cr, dr = F.col("credit_amount"), F.col("debit_amount")
@@ -147,7 +147,7 @@ def canonical(df: DataFrame, mappings: list[Mapping], prefix: str = "TXN", row_n
     only = lambda a, b: (F.col(a) > 0) & (F.coalesce(F.col(b), zero) == 0)
     direction = F.when(only("credit_amount", "debit_amount"), "CREDIT").when(only("debit_amount", "credit_amount"), "DEBIT").when(F.col("net_amount") >= 0, "CREDIT").when(F.col("net_amount") < 0, "DEBIT")
     composite = F.when(F.col("settlement_id").isNotNull(), F.concat(F.col("settlement_id"), F.coalesce(F.concat(F.lit("_"), F.col("order_id")), F.concat(F.lit("_row"), F.col("source_row_number")))))
-    fallback = F.concat(F.lit(f"{prefix}-TXN-"), F.lpad(F.col("source_row_number").cast("string"), 4, "0"))
+    fallback = F.concat(F.lit(f"{prefix}-TXN-"), F.format_string("%04d", "source_row_number"))
     return step.withColumns(
         {
             "direction": direction,

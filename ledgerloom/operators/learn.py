@@ -92,9 +92,20 @@ def sample_negatives(negatives: DataFrame, per: int = 4, seed: int = 42) -> Data
 
 
 def split_rows(examples: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test examples by a seeded hash of the pair; each label is divided in the same share."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "settlement_id", "bank_transaction_id"), F.lit(10_000)) / 10_000
-    return examples.where(u >= test_share), examples.where(u < test_share)
+    """Train and test examples: of each label the same share, by the order of a seeded hash of the pair.
+
+    A label is cut into slices of the hash, the rows of the slices before are counted, and only inside a slice rows are put in
+    order, so no task holds a label. Of a label's n rows floor(n * test_share) are test rows.
+    """
+    h = F.xxhash64(F.lit(seed), "settlement_id", "bank_transaction_id")
+    rows = examples.withColumn("__h", h).withColumn("__slice", F.shiftright("__h", 52))
+    sizes = rows.groupBy(F.col("label").alias("__label"), F.col("__slice").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    mine = W.partitionBy("__label")
+    sizes = sizes.select("__label", "__s", F.sum("__n").over(mine).alias("__all"), (F.sum("__n").over(mine.orderBy("__s")) - F.col("__n")).alias("__before"))
+    rows = rows.join(sizes, F.col("label").eqNullSafe(F.col("__label")) & (F.col("__slice") == F.col("__s")))
+    place = F.row_number().over(W.partitionBy("label", "__slice").orderBy("__h", "settlement_id", "bank_transaction_id")) + F.col("__before")
+    rows = rows.withColumn("__test", place <= F.floor(F.col("__all") * test_share + 1e-9))
+    return tuple(rows.where(F.col("__test") == test).drop("__h", "__slice", "__label", "__s", "__all", "__before", "__test") for test in (False, True))
 
 
 def train(examples: DataFrame, trees: int = 100, depth: int = 8, seed: int = 42):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import score
 from ..functions import taxonomy as tx
+from ..session import cut
 
 _PAIR = ["settlement_id", "bank_transaction_id"]
 
@@ -17,7 +18,7 @@ def exception_ledger(results: DataFrame, previous: DataFrame | None = None) -> D
     """Open results (settlement_id, bank_transaction_id, stage, decision, confidence, reason) with type, priority and state.
 
     Resolutions (state, resolution) of an earlier ledger are kept by pair. Ids EXC-0001 and on follow the order of the pairs; they
-    are given out by ranges: a sum per slice of the order, then a number inside the slice, so no task holds all rows.
+    are given out by ranges of the order: a sum per range, then a place inside it, so no task holds all rows.
     """
     open_ = results.where(~F.lower(F.coalesce("decision", F.lit(""))).isin("match", "matched"))
     kind = tx.exception_type(F.col("stage"), F.col("decision"), F.col("reason"))
@@ -28,14 +29,14 @@ def exception_ledger(results: DataFrame, previous: DataFrame | None = None) -> D
         old = previous.where("state <> 'open'").groupBy(*[F.col(k).alias("__" + k) for k in _PAIR]).agg(F.max(F.struct("state", "resolution")).alias("__old"))
         rows = rows.join(old, [F.col(k).eqNullSafe(F.col("__" + k)) for k in _PAIR], "left").withColumn("state", F.coalesce("__old.state", F.lit("open"))).withColumn("resolution", F.col("__old.resolution"))
         rows = rows.drop("__old", *["__" + k for k in _PAIR])
-    slice_ = F.substring(F.coalesce("settlement_id", F.lit("")), 1, 6)
-    rows = rows.withColumn("__slice", slice_)
-    # One row per slice of the order.
+    # Ranges of the order, as many as the session shuffles to; a row's number is its place in its range after the ranges before.
+    order = [*_PAIR, "stage", "reason", "decision", "confidence"]
+    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("__slice", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select(F.col("__slice").alias("__s"), (F.sum("__n").over(W.partitionBy(F.lit(1)).orderBy("__slice")) - F.col("__n")).alias("__before"))
-    number = F.row_number().over(W.partitionBy("__slice").orderBy(*_PAIR, "stage", "reason", "decision", "confidence")) + F.col("__before")
-    out = rows.join(before, F.col("__slice") == F.col("__s")).withColumn("exception_id", F.concat(F.lit("EXC-"), F.when(F.length(number.cast("string")) < 4, F.lpad(number.cast("string"), 4, "0")).otherwise(number.cast("string"))))
-    return out.drop("__slice", "__s", "__before")
+    before = sizes.select(F.col("__slice").alias("__s"), (F.sum("__n").over(W.orderBy("__slice")) - F.col("__n")).alias("__before"))
+    out = rows.join(before, F.col("__slice") == F.col("__s")).withColumn("exception_id", F.format_string("EXC-%04d", F.col("__at") + F.col("__before") + 1))
+    return out.drop("__slice", "__at", "__s", "__before")
 
 
 def exception_summary(ledger: DataFrame) -> DataFrame:
@@ -51,8 +52,14 @@ def decide(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def override(results: DataFrame, changes: DataFrame) -> DataFrame:
-    """Results with manual statuses (p_id, c_id, status) written over; pairs that weren't there are added. A pair of one statement is refused."""
-    c = changes.where(F.coalesce(F.col("p_id") != F.col("c_id"), F.lit(True))).groupBy("p_id", "c_id").agg(F.max("status").alias("__status"))
+    """Results with manual statuses (p_id, c_id, status) written over; pairs that weren't there are added.
+
+    A row paired with itself is refused, and where the changes name statements (p_statement_id, c_statement_id) a pair of one statement.
+    """
+    same = F.coalesce(F.col("p_id") == F.col("c_id"), F.lit(False))
+    if {"p_statement_id", "c_statement_id"} <= set(changes.columns):
+        same = same | F.coalesce(F.col("p_statement_id") == F.col("c_statement_id"), F.lit(False))
+    c = changes.where(~same).groupBy("p_id", "c_id").agg(F.max("status").alias("__status"))
     kept = results.join(c.withColumnsRenamed({"p_id": "__p", "c_id": "__c"}), F.col("p_id").eqNullSafe(F.col("__p")) & F.col("c_id").eqNullSafe(F.col("__c")), "left")
     kept = kept.withColumn("stage", F.when(F.col("__status").isNotNull(), "manual").otherwise(F.col("stage"))).withColumn("status", F.coalesce("__status", "status")).drop("__p", "__c", "__status")
     new = c.join(results.select("p_id", "c_id"), ["p_id", "c_id"], "left_anti").select("p_id", "c_id", F.lit("manual").alias("stage"), F.col("__status").alias("status"))

@@ -26,7 +26,7 @@ def with_utc_us(df: DataFrame, stamp: str, feed: str, profiles: DataFrame, out:
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     # The profiles are a fixed list of senders; below the session's broadcast threshold Spark broadcasts them, beyond it it shuffles.
     work = df.join(rows, F.col(f"`{feed}`") == F.col("__feed"), "left")
-    work = work.withColumn("__clean", clean_stamp(F.when(F.length(F.col(f"`{stamp}`")) <= 100, F.col(f"`{stamp}`"))))
+    work = work.withColumn("__clean", clean_stamp(F.col(f"`{stamp}`")))
     for step in steps_to_utc_us("__home_zone", "__day_first"):
         work = work.withColumns(step)
     # Explode of one value changes no row; it keeps later filters on the instant from being pushed into, and repeated through, every step above.

@@ -19,11 +19,8 @@ def _four(x: str) -> str:
 
 
 def _norm_sql(c: str) -> str:
-    once = "^" + "".join(f"(?:{_quoted(p)})?" for p in REFERENCE_PREFIXES)
-    s = f"upper(trim(coalesce({c}, '')))"
-    for _ in range(3):
-        s = f"regexp_replace({s}, '{once}', '')"
-    return f"regexp_replace({s}, '[^0-9A-Z]', '', 'g')"
+    once = "".join(f"(?:{_quoted(p)})?" for p in REFERENCE_PREFIXES)
+    return f"regexp_replace(regexp_replace(upper(trim(coalesce({c}, ''))), '^(?:{once})+', ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 
 def _registry_sql(c: str) -> str:
@@ -52,7 +49,13 @@ def exact_match(spark, d):
 
 def reference_normalize(spark, d):
     bank = spark.read.parquet(f"{d}/bank_statement.parquet")
-    return bank.select("row_id", normal_reference(F.col("ref_utr")).alias("reference"))
+    return bank.select("row_id", normal_reference(F.col("ref_utr")).alias("reference"), normal_reference(_chained(F.col("row_id"), F.col("ref_utr"))).alias("behind_chain"))
+
+
+def _chained(k, ref):
+    """A reference behind up to five prefixes, by the row's number."""
+    parts = ["REF:", "UTR-", "UPI", "NEFTCR-", "SETTLEMENT-"]
+    return F.concat(*[F.when(k % (n + 2) != 0, F.lit(p)).otherwise(F.lit("")) for n, p in enumerate(parts)], F.coalesce(ref, F.lit("12345")))
 
 
 def desc_substring_join(spark, d):
@@ -140,11 +143,11 @@ def similar_topk_jaccard(spark, d):
 
 
 SIMILAR_SQL = typed(
-    f"""{WITH_POOLS}, J AS (SELECT p.id AS p_id, c.id AS c_id, c.ord AS c_ord, abs(p.net_amount - c.net_amount) AS amount_gap, abs(p.txn_date - c.txn_date) AS day_gap, p.utr AS pu, c.utr AS cu, lower(p.order_id) = lower(c.order_id) AS same_order,
-  {tokens_sql("p.description")} AS a, {tokens_sql("c.description")} AS b FROM P p JOIN C c ON (lower(p.utr) = lower(c.utr) OR lower(p.order_id) = lower(c.order_id) OR (abs(p.net_amount - c.net_amount) <= 1 AND abs(p.txn_date - c.txn_date) <= 4)) WHERE {COMPATIBLE}),
- S AS (SELECT *, CASE WHEN lower(pu) = lower(cu) THEN 'exact_utr' WHEN same_order THEN 'exact_order_id' ELSE 'none' END AS id_type, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))), 4) AS narr FROM J),
- W AS (SELECT *, CASE id_type WHEN 'exact_utr' THEN CAST(1 AS DOUBLE) WHEN 'exact_order_id' THEN CAST(0.95 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS si,
-  CASE WHEN amount_gap = 0 THEN CAST(1 AS DOUBLE) WHEN amount_gap <= 1 THEN greatest(CAST(0.5 AS DOUBLE), 1 - CAST(amount_gap AS DOUBLE) / 2) WHEN id_type <> 'none' THEN CAST(0.8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS sa,
+    f"""{WITH_POOLS}, J AS (SELECT p.id AS p_id, c.id AS c_id, c.ord AS c_ord, abs(p.net_amount - c.net_amount) AS amount_gap, abs(p.txn_date - c.txn_date) AS day_gap, p.utr AS pu, c.utr AS cu, lower(p.order_id) = lower(c.order_id) AS same_order, contains(upper(p.description), upper(c.description)) OR contains(upper(c.description), upper(p.description)) AS part,
+  {tokens_sql("p.description")} AS a, {tokens_sql("c.description")} AS b FROM P p JOIN C c ON (lower(p.utr) = lower(c.utr) OR lower(p.order_id) = lower(c.order_id) OR abs(p.net_amount - c.net_amount) <= 1 OR contains(upper(p.description), upper(c.description)) OR contains(upper(c.description), upper(p.description))) WHERE {COMPATIBLE}),
+ S AS (SELECT *, CASE WHEN lower(pu) = lower(cu) THEN 'exact_utr' WHEN same_order THEN 'exact_order_id' WHEN part THEN 'partial' ELSE 'none' END AS id_type, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))), 4) AS narr FROM J),
+ W AS (SELECT *, CASE id_type WHEN 'exact_utr' THEN CAST(1 AS DOUBLE) WHEN 'exact_order_id' THEN CAST(0.95 AS DOUBLE) WHEN 'partial' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS si,
+  CASE WHEN amount_gap = 0 THEN CAST(1 AS DOUBLE) WHEN amount_gap <= 1 THEN greatest(CAST(0.5 AS DOUBLE), 1 - CAST(amount_gap AS DOUBLE) / 2) WHEN id_type IN ('exact_utr', 'exact_order_id') THEN CAST(0.8 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS sa,
   CASE WHEN day_gap = 0 THEN CAST(1 AS DOUBLE) WHEN day_gap <= 4 THEN greatest(CAST(0.5 AS DOUBLE), 1 - CAST(day_gap AS DOUBLE) / 8) ELSE CAST(0 AS DOUBLE) END AS sd FROM S),
  V AS (SELECT *, si * CAST(0.4 AS DOUBLE) + sa * CAST(0.3 AS DOUBLE) + sd * CAST(0.15 AS DOUBLE) + narr * CAST(0.15 AS DOUBLE) AS w FROM W),
  X AS (SELECT *, {_four("CASE WHEN si >= 0.95 OR (sa = 1 AND sd = 1) THEN greatest(w, CAST(0.85 AS DOUBLE)) ELSE w END")} AS similarity_score FROM V),
@@ -243,13 +246,15 @@ def cluster_decision(spark, d):
     return plain(review.decide_cluster(match.similar_candidates(primary(spark, d), counterpart(spark, d), k=1)))
 
 
+CHAINED = " || ".join(f"CASE WHEN row_id % {n + 2} <> 0 THEN '{p}' ELSE '' END" for n, p in enumerate(["REF:", "UTR-", "UPI", "NEFTCR-", "SETTLEMENT-"])) + " || coalesce(ref_utr, '12345')"
+
 QUERIES = {
     "reference_normalize": reference_normalize, "exact_tiered_join": exact_tiered_join, "exact_match": exact_match, "desc_substring_join": desc_substring_join, "unique_amount_date": unique_amount_date, "band_join": band_join, "band_ties": band_ties,
     "aggregate_topologies": aggregate_topologies, "similar_topk_jaccard": similar_topk_jaccard, "similar_topk_full": similar_topk_full, "score_expression": score_expression, "expected_net": expected_net, "greedy_assignment": greedy_assignment,
     "cascade_status": cascade_status, "pair_features": pair_features, "pair_features_full": pair_features_full, "cluster_decision": cluster_decision,
 }
 SQL = {
-    "reference_normalize": f"SELECT row_id, {_norm_sql('ref_utr')} AS reference FROM bank_statement",
+    "reference_normalize": f"SELECT row_id, {_norm_sql('ref_utr')} AS reference, {_norm_sql(CHAINED)} AS behind_chain FROM bank_statement",
     "exact_tiered_join": typed(f"{KEYS} SELECT * FROM E", p_id="s", c_id="s", tier="n", amount_gap="d"),
     "exact_match": typed(f"{KEYS} SELECT p_id, c_id, CASE tier WHEN 0 THEN 'exact_utr' ELSE 'exact_document' END AS match_type, 1.0 AS confidence FROM E", p_id="s", c_id="s", match_type="s", confidence="d"),
     "unique_amount_date": UNIQUE_SQL,

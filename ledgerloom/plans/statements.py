@@ -30,16 +30,16 @@ def _numeric_sql(c: str) -> str:
 def canonical_bank(spark, d):
     b = _table(spark, d, "bank_statement")
     mapped, _ = ingest.map_columns([c for c in b.columns if c not in ("row_id", "batch_no", "loaded_at", "feed_code", "merchant_id", "balance")])
-    out = ingest.canonical(b, mapped, "BNK", F.col("row_id") - 20_000_000_000)
+    out = ingest.canonical(b, mapped, "BNK", F.col("row_id") - 19_999_990_000)
     return plain(out.select("transaction_id", "utr", "net_amount", "direction", "currency", "source_row_number"))
 
 
 CANONICAL_SQL = typed(
-    f"""WITH B AS (SELECT row_id - 20000000000 AS n, trim(ref_utr) AS ref, trim(description) AS des, {_numeric_sql("withdrawal_dr")} AS dr, {_numeric_sql("deposit_cr")} AS cr FROM bank_statement),
+    f"""WITH B AS (SELECT row_id - 19999990000 AS n, trim(ref_utr) AS ref, trim(description) AS des, {_numeric_sql("withdrawal_dr")} AS dr, {_numeric_sql("deposit_cr")} AS cr FROM bank_statement),
  V AS (SELECT *, CASE WHEN ref IS NOT NULL AND lower(ref) NOT IN ('', 'nan', 'none', 'null', 'unknown', 'n/a', 'na', '—', '-', 'undefined') THEN ref END AS good,
   CASE WHEN cr IS NOT NULL OR dr IS NOT NULL THEN coalesce(cr, 0) - coalesce(dr, 0) END AS net FROM B),
  U AS (SELECT *, coalesce(good, nullif(regexp_extract(des, '(?i)\\b(?:NEFT|UTR|RRN)?([A-Z0-9]{{12,18}})\\b', 1), ''), nullif(regexp_extract(des, '(?i)\\b(NEFT[A-Z0-9]+)\\b', 1), ''), nullif(regexp_extract(des, '(?i)\\b(RRN[0-9]{{10,12}})\\b', 1), '')) AS utr FROM V)
- SELECT coalesce(utr, 'BNK-TXN-' || CASE WHEN length(CAST(n AS VARCHAR)) >= 4 THEN CAST(n AS VARCHAR)[1:4] ELSE lpad(CAST(n AS VARCHAR), 4, '0') END) AS transaction_id, utr, net AS net_amount,
+ SELECT coalesce(utr, 'BNK-TXN-' || printf('%04d', n)) AS transaction_id, utr, net AS net_amount,
   CASE WHEN cr > 0 AND coalesce(dr, 0) = 0 THEN 'CREDIT' WHEN dr > 0 AND coalesce(cr, 0) = 0 THEN 'DEBIT' WHEN net >= 0 THEN 'CREDIT' WHEN net < 0 THEN 'DEBIT' END AS direction, 'INR' AS currency, n AS source_row_number FROM U""",
     transaction_id="s", utr="s", net_amount="d", direction="s", currency="s", source_row_number="n",
 )

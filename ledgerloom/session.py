@@ -38,6 +38,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Cut the lineage through a table in the shared folder, which is smaller than a checkpoint and can be removed after use."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that an operator wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,21 +15,36 @@ from ..operators.ingest import is_summary_row, promote_header
 ROW = "source_row_number"
 
 
-def read_csv(spark: SparkSession, path: str, summaries: bool = False) -> DataFrame:
+def numbered_rows(df: DataFrame, first: int) -> DataFrame:
+    """``df``, just read from files, with source_file and source_row_number: a row's place in its file, counted from ``first``.
+
+    Rows of a block lie one after the other, so a block's rows are counted and the sum over the blocks before is added; no
+    file is brought into one task for it. One row per block is joined back.
+    """
+    cols = df.columns
+    read = df.select(*[F.col(f"`{c}`") for c in cols], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = read.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    upto = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("__file").alias("__f"), F.col("__block").alias("__b"), "__first", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    out = read.join(blocks, (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return out.select(*[F.col(f"`{c}`") for c in cols], F.element_at(F.split("__file", "/"), -1).alias("source_file"), (F.col("__id") - F.col("__first") + F.col("__before") + first).alias(ROW))
+
+
+def read_csv(spark: SparkSession, path: str, summaries: bool = False, multi_line: bool = True) -> DataFrame:
     """A CSV file or folder: text columns, source_file and source_row_number (from 2, by place in the file). Summary rows are left out.
 
-    Rows are numbered within the file's own blocks; no file is brought into one task for it.
+    With ``multi_line`` quoted cells may hold line ends, and a file is read by one task; files without such cells can be read in blocks.
     """
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"')
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     cols = df.columns
-    df = df.select(*[F.col(f"`{c}`") for c in cols], F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"), (F.monotonically_increasing_id() + 2).alias(ROW))
+    df = numbered_rows(df, 2)
     return df if summaries else df.where(~is_summary_row(*[F.col(f"`{c}`") for c in cols]))
 
 
 def read_headerless(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file whose header stands in one of its first rows."""
-    df = spark.read.csv(path, header=False, inferSchema=False, escape='"').withColumn(ROW, F.monotonically_increasing_id())
-    return promote_header(df, ROW)
+    df = numbered_rows(spark.read.csv(path, header=False, inferSchema=False, multiLine=True, escape='"'), 1)
+    return promote_header(df.drop("source_file"), ROW)
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

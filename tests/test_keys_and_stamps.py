@@ -61,3 +61,9 @@ def test_stamps_of_empty_and_unknown(spark, profiles):
     assert with_utc_us(none, "stamp", "feed", profiles).count() == 0
     df = spark.createDataFrame([("2025-01-01", "bad"), ("2025-01-01", None)], "stamp string, feed string")
     assert [r["utc_us"] for r in with_utc_us(df, "stamp", "feed", profiles.limit(0).unionByName(profiles)).collect()] == [None, None]
+
+
+def test_padding_of_any_length_is_no_obstacle(spark):
+    df = spark.createDataFrame([(1, "F", "2026-01-01" + " " * 500), (2, "F", " " * 500 + "2026-01-01"), (3, "F", "x" * 5000)], "row_id long, feed_code string, s string")
+    profiles = spark.createDataFrame([("F", "t", "UTC", True)], "feed_code string, fed_table string, home_zone string, day_first boolean")
+    assert [r["utc_us"] for r in with_utc_us(df, "s", "feed_code", profiles).orderBy("row_id").collect()] == [1767225600000000, 1767225600000000, None]

@@ -16,7 +16,7 @@ CSV = "Date,Narration,Ref / UTR,Withdrawal (Dr),Deposit (Cr),Balance\n2026-07-04
 def test_csv_to_canonical(spark, tmp_path):
     (tmp_path / "02_bank.csv").write_text(CSV)
     raw = readers.read_statement(spark, str(tmp_path / "02_bank.csv"))
-    assert raw.count() == 2 and [r[0] for r in raw.select(readers.ROW).collect()] == [2, 3]
+    assert raw.count() == 2 and sorted(r[0] for r in raw.select(readers.ROW).collect()) == [2, 3]
     mapped, missing = ingest.map_columns([c for c in raw.columns if c not in (readers.ROW, "source_file")])
     assert {m.column: m.field for m in mapped}["Withdrawal (Dr)"] == "debit_amount" and "Balance" in missing
     rows = ingest.canonical(raw, mapped, "BNK", F.col(readers.ROW), "02_bank.csv").orderBy("source_row_number").collect()
@@ -186,3 +186,37 @@ def test_smart_match_reads_descriptions(spark):
     c = spark.createDataFrame([("c1", 900.0, "2026-06-05", None, None, "ORD-7781"), ("c2", None, "2026-06-05", "ab55c", None, None), ("c3", 500.0, "2026-06-05", "ORD", None, "alone")], kinds)
     day = lambda df: df.withColumn("txn_date", F.to_date("txn_date"))
     assert sorted((r["id"], r["other_id"], r["amount_gap"]) for r in qa.smart_match(day(t), day(c)).collect()) == [("t1", "c3", 400.0), ("t2", "c2", None)]
+
+
+def test_row_numbers_over_blocks_and_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "n.csv").write_text('Date,Note\n2026-01-01,"two\nlines"\n2026-01-02,b\n')
+    assert [(r["Note"], r[readers.ROW]) for r in readers.read_csv(spark, str(tmp_path / "n.csv")).orderBy(readers.ROW).collect()] == [("two\nlines", 2), ("b", 3)]
+    (tmp_path / "long.csv").write_text("k\n" + "".join(f"{i:08d}\n" for i in range(12_345)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = readers.read_csv(spark, str(tmp_path / "long.csv"), multi_line=False)
+        assert df.rdd.getNumPartitions() > 1
+        assert all(int(r["k"]) + 2 == r[readers.ROW] for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    raw = spark.createDataFrame([("2026-01-01", n) for n in (7, 12_340, 12_341, 2**33 + 2)], "date string, n long")
+    rows = ingest.canonical(raw, [ingest.Mapping("transaction_date", "date", "exact", 1.0)], "TXN", F.col("n"))
+    assert sorted(r["transaction_id"] for r in rows.collect()) == ["TXN-TXN-0007", "TXN-TXN-12340", "TXN-TXN-12341", "TXN-TXN-8589934594"]
+
+
+def test_override_refuses_pairs_of_a_statement(spark):
+    r = spark.createDataFrame([("p", "c", "exact", "SETTLED")], "p_id string, c_id string, stage string, status string")
+    changes = spark.createDataFrame([("a", "b", "S1", "S1", "MATCHED"), ("a", "e", "S1", "S2", "MATCHED")], "p_id string, c_id string, p_statement_id string, c_statement_id string, status string")
+    assert sorted((x["p_id"], x["c_id"]) for x in review.override(r, changes).collect()) == [("a", "e"), ("p", "c")]
+
+
+def test_split_takes_the_same_share_of_each_label(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("settlement_id"), F.col("id").cast("string").alias("bank_transaction_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    train, test = learn.split_rows(df)
+    assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {0: 180, 1: 20} and train.count() == 800
+
+
+def test_ledger_numbers_without_a_common_task(spark):
+    df = spark.range(500).select(F.concat(F.lit("SETTL_"), F.col("id")).alias("settlement_id"), F.lit("B").alias("bank_transaction_id"), F.lit("ml").alias("stage"), F.lit("open").alias("decision"), F.lit(0.5).alias("confidence"), F.lit("").alias("reason"))
+    rows = review.exception_ledger(df).orderBy("settlement_id").collect()
+    assert [r["exception_id"] for r in rows] == [f"EXC-{k:04d}" for k in range(1, 501)]
