@@ -3,8 +3,7 @@
 Temperature mixing: the sources' shares of all tokens are exponentiated and normalised to weights, the exponent is found
 by bisection. With no targets the exponent meets a wanted entropy; with targets the family runs from the natural shares
 (exponent 0) to the targets (exponent 1) and the exponent is the largest at which no source is repeated more often than
-it may be within the wanted budget. With no wanted budget the targets are met exactly and the budget is the largest that
-the limits on repeats allow. The weights are realised as block permutations: every pass over a source is one seeded
+it may be within the wanted budget. With no wanted budget that budget is the largest at which the targets can be met. The weights are realised as block permutations: every pass over a source is one seeded
 permutation of all its documents, the last one is cut at the source's budget.
 """
 
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .bpe import VOCABULARIES, count_tokens
 
-#: Slices of a permutation's key range: the running sum of tokens is taken in a slice, over sums of the slices before.
-SLICES = 256
+#: Documents of a source that a slice of its permutation holds, about: the running sum of tokens is taken in a slice, over sums of the slices before.
+SLICE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -81,13 +80,10 @@ def plan_mix(name: str, targets: list[tuple[str, float, int]], tokens: dict[str,
     goal, natural = _normal([math.log(t) for _, t, _ in live]), _normal([math.log(x) for x in n])
     weights = lambda a: _normal([a * math.log(g) + (1 - a) * math.log(p) for g, p in zip(goal, natural)])
     reach = lambda w: min(c / x for c, x in zip(cap, w))
-    exponent, budget = 1.0, reach(goal)
-    if wanted_budget is not None and wanted_budget > budget:
-        exponent = bisect(lambda a: wanted_budget - reach(weights(a)), 0.0, 1.0)
-        budget = min(wanted_budget, reach(weights(exponent)))
-    elif wanted_budget is not None:
-        budget = wanted_budget
+    budget = reach(goal) if wanted_budget is None else wanted_budget
+    exponent = bisect(lambda a: budget * (1 - 1e-12) - reach(weights(a)), 0.0, 1.0)
     w = weights(exponent)
+    budget = min(budget, reach(w))
     for (s, t, r), x, p, have in zip(live, w, natural, n):
         want = min(int(budget * x + 1e-6), have * r)
         out.append(SourcePlan(name, s, t, r, p, x, exponent, want, want // have, want % have, have))
@@ -101,13 +97,17 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     (null, empty), without a source or of a source that no mix names are in no mix. Repeated texts are documents of their
     own. In the last pass documents are taken in the order of the permutation until one exceeds the source's rest; then the
     largest document that still fits is added until none does, so a source misses its budget by less than its smallest unused one.
+    That filling goes by the counts of sizes, which are as many as the gap has tokens, less than the longest document's.
     """
     spark = documents.sparkSession
     # One row per mix and source: a list of settings, as long as the recipe.
     rows = targets.select("mix_name", "source", "target_share", "max_repeats").dropna().collect()
     sized = cut(count_tokens(documents.where("source IS NOT NULL"), ["doc_id", "source"], tokenizer, folder).where("n_tokens > 0"))
     wanted = sorted({r["source"] for r in rows})
-    tokens = {r["source"]: r["n"] for r in sized.where(F.col("source").isin(wanted)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    # One row per source.
+    sums = sized.where(F.col("source").isin(wanted)).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    tokens = {r["source"]: r["n"] for r in sums}
+    bits = max(8, math.ceil(math.log2(max([r["rows"] for r in sums], default=1) / SLICE_ROWS)))
     plans = [p for name in sorted({r["mix_name"] for r in rows}) for p in plan_mix(name, [(r["source"], r["target_share"], r["max_repeats"]) for r in rows if r["mix_name"] == name], tokens, wanted_budget)]
     if not plans:
         return spark.createDataFrame([], "mix_name string, source string, doc_id long, n_tokens long, pass_no int, place long")
@@ -119,24 +119,29 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     whole = whole.withColumn("place", key)
 
     last = base.where("rest > 0").withColumn("pass_no", F.col("passes") + 1).withColumn("place", key)
-    last = last.withColumn("slice", F.shiftright("place", 64 - int(math.log2(SLICES))))
+    last = last.withColumn("slice", F.shiftright("place", 64 - bits))
     group = ["mix_name", "source"]
     sums = last.groupBy(*group, "slice").agg(F.sum("n_tokens").alias("n"))
     before = sums.select(*group, "slice", F.coalesce(F.sum("n").over(W.partitionBy(*group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     upto = F.sum("n_tokens").over(W.partitionBy(*group, "slice").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     last = cut(last.withColumn("upto", upto).join(before, [*group, "slice"]).withColumn("upto", F.col("upto") + F.col("before")).withColumn("taken", F.col("upto") <= F.col("rest")))
-    # Then the largest document that still fits, again and again. The gaps and each round's picks are a row per mix and source.
-    filled = last.groupBy(*group).agg(F.max("rest").alias("rest"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("n_tokens"))), F.lit(0)).alias("filled"))
-    gaps = {(r["mix_name"], r["source"]): r["rest"] - r["filled"] for r in filled.collect()}
-    spare, picks = last.where(~F.col("taken")), []
-    schema = "mix_name string, source string, doc_id long"
-    while gaps:
-        rows = spark.createDataFrame([(*k, g) for k, g in gaps.items()], "mix_name string, source string, gap long")
-        fits = spare.join(rows, group).where("n_tokens <= gap").join(spark.createDataFrame(picks, schema), [*group, "doc_id"], "left_anti")
-        found = fits.groupBy(*group).agg(F.max(F.struct("n_tokens", "doc_id")).alias("f")).collect()
-        gaps = {(r["mix_name"], r["source"]): gaps[r["mix_name"], r["source"]] - r["f"]["n_tokens"] for r in found}
-        picks += [(r["mix_name"], r["source"], r["f"]["doc_id"]) for r in found]
-    part = last.where("taken").select(*base.columns, "pass_no", "place").unionByName(spare.join(spark.createDataFrame(picks, schema), [*group, "doc_id"], "left_semi").select(*base.columns, "pass_no", "place"))
+    # Then the largest document that still fits, again and again: from the gap of every mix and source and the counts of the sizes that fit it.
+    filled = last.groupBy(*group).agg((F.max("rest") - F.coalesce(F.sum(F.when(F.col("taken"), F.col("n_tokens"))), F.lit(0))).alias("gap"))
+    spare = last.where(~F.col("taken"))
+    sizes = spare.join(filled, group).where("n_tokens <= gap").groupBy(*group, "gap", "n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
+    picks, gaps = [], {}
+    for r in sorted(sizes, key=lambda r: -r["n_tokens"]):
+        of = (r["mix_name"], r["source"])
+        gap = gaps.get(of, r["gap"])
+        k = min(r["n"], gap // r["n_tokens"])
+        gaps[of] = gap - k * r["n_tokens"]
+        if k:
+            picks.append((*of, r["n_tokens"], k))
+    picked = spare.join(spark.createDataFrame(picks, "mix_name string, source string, n_tokens long, k long"), [*group, "n_tokens"])
+    # The first of a size in the order of the permutation: first in every slice, then of those.
+    for parts in ([*group, "n_tokens", "slice"], [*group, "n_tokens"]):
+        picked = picked.withColumn("nth", F.row_number().over(W.partitionBy(*parts).orderBy("place", "doc_id"))).where("nth <= k").drop("nth")
+    part = last.where("taken").select(*base.columns, "pass_no", "place").unionByName(picked.select(*base.columns, "pass_no", "place"))
     columns = ["mix_name", "source", "doc_id", "n_tokens", "pass_no", "place"]
     return whole.select(*columns).unionByName(part.select(*columns))
 
@@ -156,7 +161,7 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def temperature_report(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(mix_name, source, natural_share, exponent, weight): plain temperature mixing of every mix's sources.
+    """(mix_name, source, target_share, natural_share, exponent, weight): plain temperature mixing of every mix's sources.
 
     The exponent is the one at which the weights are as even as the mix's targets (equal entropy). Sources without tokens are left out.
     """
@@ -170,5 +175,6 @@ def temperature_report(documents: DataFrame, targets: DataFrame, tokenizer: str
         if live:
             n = [tokens[s] for s, _ in live]
             exponent, weights = temperature_weights(n, entropy(_normal([math.log(t) for _, t in live])))
-            out += [(name, s, x / sum(n), exponent, w) for (s, _), x, w in zip(live, n, weights)]
-    return spark.createDataFrame(out, "mix_name string, source string, natural_share double, exponent double, weight double")
+            goal = _normal([math.log(t) for _, t in live])
+            out += [(name, s, g, x / sum(n), exponent, w) for (s, _), g, x, w in zip(live, goal, n, weights)]
+    return spark.createDataFrame(out, "mix_name string, source string, target_share double, natural_share double, exponent double, weight double")
