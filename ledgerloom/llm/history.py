@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import reference_key
 from ..operators.graph import components
-from ..operators.state import State
-from ..session import cut, scratch_path
+from ..operators.state import State, deal
+from ..session import cut, remove, scratch_path, written
 
 _GROUP = ["table_name", "account", "cents"]
 _NODE = [*_GROUP, "field", "num"]
@@ -85,18 +85,21 @@ class History:
 
         Rows without account or money are never repeats and aren't stored.
         """
+        work = scratch_path(self.state.spark, "turn")
         with self.state.turn() as left:
             left |= note or {}
             rows = rows.where(F.col("account").isNotNull() & F.col("cents").isNotNull()).withColumn("account", F.col("account").cast("string")).withColumn("g", F.xxhash64(*_GROUP))
-            groups = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash").join(self.state.log("groups").select("g", F.lit(True).alias("old")), "g", "left"))
+            groups = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash").join(self.state.log("groups").select("g", F.lit(True).alias("old")), "g", "left"), f"{work}/groups")
             # Hashes that groups share do no harm: numbers of different groups never meet.
             shared = groups.where("n > 1 OR old").select("g")
             each = rows.select("table_name", "row_id", "account", "cents", "g", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
             busy = each.join(shared, "g", "left_semi")
-            nodes = cut(busy.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")))
-            own = nodes.select(_hashed("L", F.substr(F.col("num"), F.lit(1), _outer(F.length("num")))).alias("segment"), *_NODE)
-            known = own.hint("shuffle_hash").join(self.state.log("index").select(*_PLACE, "num", F.col("first").alias("old")), [*_PLACE, "num"]).groupBy(*_NODE).agg(F.min("old").alias("old"))
-            nodes = cut(nodes.join(known, _NODE, "left"))
+            nodes = busy.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
+            own = nodes.withColumn("segment", _hashed("L", F.substr(F.col("num"), F.lit(1), _outer(F.length("num")))))
+            held = self.state.log("index").select(*_PLACE, F.col("num").alias("known"), F.col("first").alias("old"))
+            # Equal texts are told by two beginnings: as a key of the join the number would have the index moved.
+            same = [own[c] == held[c] for c in _PLACE] + [F.startswith(held["known"], own["num"]), F.startswith(own["num"], held["known"])]
+            nodes = written(own.hint("shuffle_hash").join(held, same, "left").select(*[own[c] for c in _NODE], "first", "n", "old"), f"{work}/nodes")
             new = nodes.where("old IS NULL").select(*_NODE, "first")
             # A number of an account and amount that occur once is a number of its own.
             lone = each.join(shared, "g", "left_anti").select(*_NODE, F.col("row_id").alias("first"))
@@ -110,6 +113,7 @@ class History:
             near = met.select("table_name", F.greatest("a", "first").alias("b"), F.least("a", "first").alias("a"))
             self.state.append(links=exact.unionByName(near))
             now = self.state.now
+        remove(self.state.spark, work)
         return self.links().where(F.col("turn") == now).drop("turn")
 
     def links(self) -> DataFrame:
@@ -137,13 +141,16 @@ def first_rows(links: DataFrame) -> DataFrame:
 
 def accept_deliveries(rows: DataFrame, history: History, of: str = "batch_no", at_once: int = DELIVERIES) -> None:
     """Has ``rows`` accepted delivery by delivery, ``at_once`` of them a turn; turns taken in already are passed over. Rows without a delivery count as of delivery 0."""
-    rows = rows.withColumn(of, F.coalesce(of, F.lit(0)))
-    turn = F.floor(F.col(of) / at_once).cast("int")
     done = max((note.get("number", -1) for note in history.state.taken().values()), default=None)
+    rows = rows.withColumn("of", F.floor(F.coalesce(of, F.lit(0)) / at_once).cast("int")).drop(of)
+    if done is not None:
+        rows = rows.where(F.col("of") > done)
+    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, "dealt")
+    rows = deal(rows, folder)
     # One number per turn.
-    numbers = sorted(r["n"] for r in rows.select(turn.alias("n")).distinct().collect() if r["n"] is not None and (done is None or r["n"] > done))
-    for k in numbers:
-        history.accept(rows.where((F.col(of) >= k * at_once) & (F.col(of) < (k + 1) * at_once)).drop(of), {"number": k})
+    for k in sorted(r["of"] for r in rows.select("of").distinct().collect()):
+        history.accept(rows.where(F.col("of") == k).drop("of"), {"number": k})
+    remove(spark, folder)
 
 
 def repeats_found(upi: DataFrame, gateway: DataFrame) -> DataFrame:
