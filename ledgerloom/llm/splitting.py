@@ -1,12 +1,13 @@
 """Problem 8: splitting oversized items at natural boundaries.
 
-Structure-tree packing. A text is read as a tree: sections under headings, blocks between blank lines (a fenced block is
-one), lines and list items, sentences, words. Sibling subtrees are merged bottom-up as long as they stay within the
-limit; only nodes beyond it are opened. What no boundary divides (an unbroken run) is cut between tokens, never inside
-a character.
+Structure-tree packing. A text is read as a tree: sections under headings (marked, underlined, numbered, or tags), blocks
+between blank lines (a fenced block is one), list items with the items nested in them, lines, sentences, words. Whole
+sibling subtrees of one parent are merged as long as they stay within the limit; only a node beyond it is opened, and
+its parts are never merged with its siblings. What no boundary divides (an unbroken run) is cut between tokens, never
+inside a character.
 
 Sizes are tokens. The tokenizer cuts a text into pieces before it merges, and all cuts but those in unbroken runs lie
-between such pieces, so sizes add up; still every piece is encoded once more before it comes out and cut again if needed.
+between such pieces, so sizes add up but for the last pieces before a cut, which are encoded once more.
 """
 
 from __future__ import annotations
@@ -23,33 +24,60 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARIES, Encoder, encoder
 
 _LINE = regex.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
-_HEADING = regex.compile(r"(#{1,6})\s+\S|(\d+(?:\.\d+)*)\.?\s+\S")
+_HEADING = regex.compile(r"(#{1,6})\s+\S|(\d+(?:\.\d+)*)[.)]?\s+\S")
+_UNDERLINE = regex.compile(r"(?:(={3,})|-{3,})\s*")
+_TAG = regex.compile(r"(?i)<(?:h([1-6])|(p|div|section|article|table|ul|ol|pre|blockquote|hr)|(li|tr|dt|dd|br))\b")
+_ITEM = regex.compile(r"([ \t]*)(?:[-*+•–]|\d{1,4}[.)])[ \t]+\S")
 _FENCE = regex.compile(r"\s*(?:```|~~~)")
 _SENTENCE = regex.compile(r"(?<=[.!?;…][\"')\]]*)\s+|(?<=[。！？।॥])")
 
-#: Depth of a node's level; sections use the depth of their heading, 1 to 6.
-BLOCK, LINE, SENTENCE, WORD = 10, 20, 30, 40
+#: Depth of a node's level; sections use the depth of their heading, 1 to 6, list items 20 and on by their nesting.
+BLOCK, ITEM, LINE, SENTENCE, WORD = 10, 20, 29, 30, 40
+#: Characters that a numbered line has at most to be a heading.
+HEADING_LENGTH = 80
+
+
+def _heading(body: str, blank: bool, following: str | None) -> int | None:
+    """The depth of a heading, None for another line. ``blank``: a blank line or nothing is before it; ``following``: the next line."""
+    found = _HEADING.match(body)
+    if found and found.group(1):
+        return len(found.group(1))
+    tag = _TAG.match(body)
+    if tag and tag.group(1):
+        return int(tag.group(1))
+    if body and following is not None and (under := _UNDERLINE.fullmatch(following)) and not _UNDERLINE.fullmatch(body) and not _ITEM.match(body):
+        return 1 if under.group(1) else 2
+    # "2.1 Fees" is a heading; "2. Fees" only where it stands alone, else it is an item of a list.
+    if found and blank and len(body) <= HEADING_LENGTH and body[-1] not in ".;,:!?" and ("." in found.group(2) or not (following or "").strip()):
+        return min(found.group(2).count(".") + 1, 6)
+    return None
 
 
 def boundaries(text: str) -> list[tuple[int, int]]:
     """(place, level) of every natural boundary inside the text, by place; a boundary of a lower level divides more."""
     found: dict[int, int] = {}
-    fenced, blank, at = False, False, 0
-    for line in _LINE.finditer(text):
-        start, end = line.span()
-        if start == end:
-            break
-        body = line.group().strip()
-        fence = bool(_FENCE.match(line.group()))
+    lines = [m.span() for m in _LINE.finditer(text) if m.start() < m.end()]
+    fenced, blank, underlined = False, True, False
+    for k, (start, end) in enumerate(lines):
+        line = text[start:end]
+        body = line.strip()
+        fence = bool(_FENCE.match(line))
         level = LINE
-        if not fenced:
-            heading = _HEADING.match(body)
-            if heading and heading.group(1):
-                level = len(heading.group(1))
-            elif blank and body:
-                level = BLOCK
-            elif fence:
+        if fenced or underlined:
+            level = WORD if underlined else LINE  # an underline is its heading's
+            underlined = False
+        else:
+            following = text[slice(*lines[k + 1])] if k + 1 < len(lines) else None
+            depth = _heading(body, blank, following)
+            item, tag = _ITEM.match(line), _TAG.match(body)
+            if depth:
+                level, underlined = depth, not body.startswith("#") and following is not None and bool(_UNDERLINE.fullmatch(following))
+            elif item:
+                level = ITEM + min(len(item.group(1).expandtabs(4)) // 2, LINE - ITEM - 1)
+            elif (blank and body) or fence or (tag and tag.group(2)):
                 level = BLOCK
+            elif tag:
+                level = ITEM
         blank = not body
         if start:
             found[start] = min(level, found.get(start, WORD))
@@ -58,8 +86,7 @@ def boundaries(text: str) -> list[tuple[int, int]]:
         for gap in _SENTENCE.finditer(text, start, end):
             if start < gap.end() < end:
                 found.setdefault(gap.end(), SENTENCE)
-        at = end
-    return sorted((p, level) for p, level in found.items() if 0 < p < len(text))
+    return sorted((p, level) for p, level in found.items() if 0 < p < len(text) and level < WORD)
 
 
 def measure(e: Encoder, text: str) -> tuple[list[int], list[int]]:
@@ -91,6 +118,7 @@ class Splitter:
         if sum(measured[1]) <= self.max:
             return []
         starts, sizes = self._words(text, *measured)
+        self.whole = len(starts) == len(measured[0])  # no run was cut
         self.starts, self.sums = starts, [0, *accumulate(sizes)]
         cuts = self._snap(boundaries(text), starts)
         cores = self._pack(0, len(starts), cuts, 0, len(cuts))
@@ -141,30 +169,36 @@ class Splitter:
         return sorted(by_word.items())
 
     def _pack(self, a: int, b: int, cuts: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
-        """Words a to b as runs within the room. cuts[lo:hi] are the boundaries strictly inside."""
+        """Words a to b as runs within the room: a node's children, neighbours merged whole, those beyond the room opened. cuts[lo:hi] are the boundaries strictly inside."""
         if self.sums[b] - self.sums[a] <= self.room:
             return [(a, b)]
         if lo == hi:
-            return self._fill([(w, w + 1) for w in range(a, b)])
-        top = min(level for _, level in cuts[lo:hi])
-        parts, start, first = [], a, lo
-        for k in range(lo, hi):
-            if cuts[k][1] == top:
-                parts += self._pack(start, cuts[k][0], cuts, first, k)
-                start, first = cuts[k][0], k + 1
-        parts += self._pack(start, b, cuts, first, hi)
-        return self._fill(parts)
-
-    def _fill(self, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Neighbours merged while they stay within the room."""
+            children = [(w, w + 1, 0, 0) for w in range(a, b)]
+        else:
+            top = min(level for _, level in cuts[lo:hi])
+            at = [k for k in range(lo, hi) if cuts[k][1] == top]
+            starts, ends = [a, *(cuts[k][0] for k in at)], [*(cuts[k][0] for k in at), b]
+            children = list(zip(starts, ends, [lo, *(k + 1 for k in at)], [*at, hi]))
         out: list[tuple[int, int]] = []
-        for a, b in parts:
-            if out and self.sums[b] - self.sums[out[-1][0]] <= self.room:
-                out[-1] = (out[-1][0], b)
+        joinable = False  # the last run is made of whole children
+        for x, y, first, last in children:
+            if self.sums[y] - self.sums[x] > self.room and y - x > 1:
+                out += self._pack(x, y, cuts, first, last)
+                joinable = False
+            elif joinable and self.sums[y] - self.sums[out[-1][0]] <= self.room:
+                out[-1] = (out[-1][0], y)
             else:
-                out.append((a, b))
+                out.append((x, y))
+                joinable = True
         return out
 
+    def _size(self, text: str, start: int, end: int) -> int:
+        """Tokens of a stretch: the sizes of its pieces where it starts with one; only the last two, that the end may change, are encoded."""
+        a, b = bisect_left(self.starts, start), bisect_left(self.starts, end)
+        if self.whole and b - a > 2 and self.starts[a] == start:
+            return self.sums[b - 2] - self.sums[a] + self.e.count(text[self.starts[b - 2] : end])
+        return self.e.count(text[start:end])
+
     def _back(self, text: str, lowest: int, end: int, tokens: int) -> int:
         """Where the ``tokens`` tokens before ``end`` start, or the most below that which can be cut off cleanly."""
         w = bisect_left(self.starts, end)
@@ -192,7 +226,7 @@ class Splitter:
             for _ in range(3):
                 start = self._back(text, lowest, end, tokens)
                 first = start if first is None else first
-                shared = self.e.count(text[start:end])  # white space at the end of a text has fewer tokens
+                shared = self._size(text, start, end)  # white space at the end of a text has fewer tokens
                 if shared <= self.overlap:
                     best = max(best or (shared, start), (shared, start), key=lambda x: x[0])
                 if shared >= self.overlap:
@@ -209,7 +243,7 @@ class Splitter:
         out: list[tuple[int, int, int, int]] = []
         for a, b in cores:
             for start in self._shared_starts(text, out[-1][0], a) if out else [a]:
-                n, shared = self.e.count(text[start:b]), self.e.count(text[start:a])
+                n, shared = self._size(text, start, b), self._size(text, start, a)
                 if n <= self.max and shared <= self.overlap:
                     break
             if n > self.max and b - a > 1:  # rare: a seam inside a run merged otherwise

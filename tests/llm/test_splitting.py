@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerloom.llm.bpe import encoder
-from ledgerloom.llm.splitting import BLOCK, LINE, SENTENCE, Splitter, boundaries, oversized, split_documents
+from ledgerloom.llm.splitting import BLOCK, ITEM, LINE, SENTENCE, Splitter, boundaries, oversized, split_documents
 
 E = encoder("byte_bpe_50k")
 
@@ -37,10 +37,29 @@ def test_runs_and_scripts():
 def test_boundaries_are_a_tree():
     text = "# A\n\nOne. Two.\nthree\n\n## B\n- x\n- y\n```\n# no heading. here\n\ncode\n```\nend"
     found = {text[p : p + 5]: level for p, level in boundaries(text)}
-    assert found["One. "] == BLOCK and found["Two.\n"] == SENTENCE and found["three"] == LINE and found["## B\n"] == 2 and found["- x\n-"[:5]] == LINE
+    assert found["One. "] == BLOCK and found["Two.\n"] == SENTENCE and found["three"] == LINE and found["## B\n"] == 2 and found["- x\n-"[:5]] == ITEM
     assert found["# no "] == LINE and found["```\n#"[:5]] == BLOCK
 
 
+def test_headings_and_nested_lists():
+    text = "Intro\n=====\nText here\n\nPart\n---\n\n1 Fees\n\n1.1 Cards\n- a\n  - b\n  - c\n- d\nplain\n<h3>Tag</h3>\n<p>para\n<li>item\n\n2. an item, not a heading\n3. another"
+    found = {text[p:].split("\n")[0]: level for p, level in boundaries(text)}
+    assert "=====" not in found and "---" not in found
+    assert (found["Part"], found["1 Fees"], found["1.1 Cards"], found["<h3>Tag</h3>"]) == (2, 1, 2, 3)
+    assert (found["- a"], found["  - b"], found["  - c"], found["- d"]) == (ITEM, ITEM + 1, ITEM + 1, ITEM)
+    assert (found["plain"], found["<p>para"], found["<li>item"], found["2. an item, not a heading"], found["3. another"]) == (LINE, BLOCK, ITEM, ITEM, ITEM)
+
+
+def test_whole_siblings_only():
+    # Each section is beyond the limit and leaves a small rest, which isn't merged with the next section.
+    text = "\n\n".join(f"# Part {k}\n\n" + "\n\n".join("word " * 30 for _ in range(4)) for k in range(3))
+    pieces = check(text, 100, 0)
+    assert all(text[a:b].count("# Part") == (1 if text[a:b].startswith("# Part") else 0) for a, b, _, _ in pieces)
+    # An item stays with the items nested in it where both fit.
+    nested = "\n".join(f"- top {k}\n" + "\n".join(f"  - nested {k} {j}" for j in range(4)) for k in range(12))
+    assert all(nested[a:b].startswith("- top") for a, b, _, _ in check(nested, 60, 0))
+
+
 def test_cuts_at_headings_first():
     part = "\n".join(f"- item {i} of this list" for i in range(12))
     text = "\n\n".join(f"# Part {k}\n\n{part}" for k in range(4))
