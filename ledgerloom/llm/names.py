@@ -3,9 +3,11 @@
 Every canonical rewriting of a name is generated: titles and legal forms set apart, tokens in any order, nicknames and
 short forms resolved, a first name as its initial, one character left out of a token (two spellings that are one slip
 apart share such a form). The forms are exploded and equi-joined; a pair that shares one is verified and scored by what
-the rewriting costs. Of rival readings of one tier of cost, the party with the most rows counts, not the rarest form.
+the rewriting costs and by its rarity: the fewer parties share a form, the more it tells. A short spelling joins the party
+that it reaches by the cheapest kind of rewriting and among these by the rarest form; forms that several parties share
+alike join it to none.
 
-Work is done on distinct names only. Whatever number of rows a name has, they are counted before anything is shuffled.
+Work is done on distinct names only. Whatever number of rows a name has, they are dropped before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -136,11 +139,15 @@ def stem(short: str) -> str:
     return base if len(base) >= 2 else short
 
 
+#: Characters of a long token; a short form has no more than these.
+LONG = 40
+
+
 def _short_of(short: str, full: str) -> float | None:
     """What it costs to read a first name as a short form of another; None if it can't be."""
     if full in NICKNAMES.get(short, ()):
         return 2.0
-    if len(short) < 2 or len(full) < 4 or len(short) >= len(full):
+    if not 2 <= len(short) <= LONG or len(full) < 4 or len(short) >= len(full):
         return None
     if full.startswith(short):
         return 2.2
@@ -148,7 +155,14 @@ def _short_of(short: str, full: str) -> float | None:
 
 
 def _dropped(token: str) -> list[str]:
-    return [token, *{token[:i] + token[i + 1 :] for i in range(len(token))}]
+    """Forms of which two tokens one slip apart share one: the token itself and with a character left out; of a long one its outer halves, which a slip can't touch both."""
+    out = [token]
+    if len(token) <= LONG + 1:
+        out += {token[:i] + token[i + 1 :] for i in range(len(token))}
+    if len(token) >= LONG:
+        for m in {(len(token) + d - 2) // 2 for d in (-1, 0, 1)}:
+            out += [f"{token[:m]}\u0001", f"\u0001{token[-m:]}"]
+    return out
 
 
 def person_cost(a: list[str], b: list[str]) -> float | None:
@@ -178,11 +192,49 @@ def person_cost(a: list[str], b: list[str]) -> float | None:
     return best
 
 
+def persons_cost(a: list[str], b: list[str]) -> float | None:
+    """As ``person_cost`` for names of any number of tokens: but for one of them they are the same, or one name is two tokens of the other."""
+    if len(a) == len(b) == 2:
+        return person_cost(a, b)
+    rest_a, rest_b = list(a), list(b)
+    for t in a:
+        if t in rest_b:
+            rest_a.remove(t)
+            rest_b.remove(t)
+    if len(a) != len(b):
+        return 4.0 if min(len(a), len(b)) == 2 and min(len(rest_a), len(rest_b)) == 0 else None
+    if len(rest_a) != 1:
+        return None
+    small, big = sorted((rest_a[0], rest_b[0]), key=len)
+    if len(small) >= (4 if len(a) == 1 else 3) and one_slip_apart(small, big):
+        return 1.0
+    if len(a) == 1:
+        return None
+    if len(small) == 1:
+        return 4.0 if big[0] == small else None
+    return min((c for c in (_short_of(small, big), _short_of(big, small)) if c is not None), default=None)
+
+
 def person_forms(tokens: list[str]) -> list[tuple[str, str]]:
-    """(form, side) of a name's rewritings: side s (a spelling of the same first name), long or short."""
-    if len(tokens) != 2:
-        return []
+    """(form, side) of a name's rewritings: side s (a spelling of the same first name), long or short.
+
+    A name of one token has its slips only. In names of three and more any token may be the slipped, short or initial one, and
+    any two of the tokens may be the whole name.
+    """
     out: set[tuple[str, str]] = set()
+    if len(tokens) == 1:
+        return sorted((f"T {d}", "s") for d in (_dropped(tokens[0]) if len(tokens[0]) >= 4 else tokens))
+    out |= {("M " + " ".join(sorted(two)), "short" if len(tokens) == 2 else "long") for two in combinations(tokens, 2)}
+    if len(tokens) > 2:
+        for i, x in enumerate(tokens):
+            y = " ".join(sorted(tokens[:i] + tokens[i + 1 :]))
+            out |= {("S " + " ".join(sorted([*tokens[:i], d, *tokens[i + 1 :]])), "s") for d in (_dropped(x) if len(x) >= 3 else [x])}
+            out.add((f"I {x[0]} {y}", "short" if len(x) == 1 else "long"))
+            if len(x) >= 4:
+                out |= {(f"P {x[:k]} {y}", "long") for k in range(2, min(len(x), LONG + 1))} | {(f"N {x} {y}", "long")}
+            if 2 <= len(x) <= LONG:
+                out |= {(f"P {x} {y}", "short"), (f"P {stem(x)} {y}", "short")} | {(f"N {full} {y}", "short") for full in NICKNAMES.get(x, ())}
+        return sorted(out)
     for x, y in (tokens, tokens[::-1]):
         if len(y) < 2:
             continue
@@ -194,8 +246,9 @@ def person_forms(tokens: list[str]) -> list[tuple[str, str]]:
         out |= {("S " + " ".join(sorted((x, d))), "s") for d in family} | {("S " + " ".join(sorted((d, y))), "s") for d in given}
         out |= {(f"I {x[0]} {d}", "long") for d in family}
         if len(x) >= 4:
-            out |= {(f"P {x[:k]} {d}", "long") for k in range(2, len(x)) for d in family} | {(f"N {x} {d}", "long") for d in family}
-        out |= {(f"P {x} {d}", "short") for d in family} | {(f"P {stem(x)} {d}", "short") for d in family if len(x) >= 3}
+            out |= {(f"P {x[:k]} {d}", "long") for k in range(2, min(len(x), LONG + 1)) for d in family} | {(f"N {x} {d}", "long") for d in family}
+        if len(x) <= LONG:
+            out |= {(f"P {x} {d}", "short") for d in family} | {(f"P {stem(x)} {d}", "short") for d in family if len(x) >= 3}
         names = {full for n in NICKNAMES if n == x or (len(n) >= 4 and one_slip_apart(n, x)) for full in NICKNAMES[n]}
         out |= {(f"N {full} {d}", "short") for full in names for d in family}
     return sorted(out)
@@ -241,7 +294,7 @@ def _cost(kind: str, a: str, b: str) -> float | None:
         (wa, _, la), (wb, _, lb) = a.rpartition("|"), b.rpartition("|")
         return firm_cost((wa.split(), la), (wb.split(), lb))
     ta, tb = a.split(), b.split()
-    return person_cost(ta, tb) if len(ta) == len(tb) == 2 else None
+    return persons_cost(ta, tb)
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,46 +317,54 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Links up to this cost make one party; dearer ones only let a short spelling join the one party that it can mean.
 SURE = 1.0
-#: A short spelling that can mean several parties joins one only if that has so many times the rows of the next.
-CLEAR = 3.0
 
 
 def parties(names: DataFrame) -> DataFrame:
-    """(kind, name, party) for names (kind, name, n): which spellings name the same party.
+    """(kind, name, party) for names (kind, name): which spellings name the same party.
 
-    kind is customer or vendor, n the rows a spelling has. Null names and names without letters name nobody and are left
-    out. Spellings of one node (equal but for case, blanks, punctuation, titles, order, middle initials, written-out
-    trades) are one party's; nodes one slip apart are; short forms and initials, and firms without their legal form,
-    join the party they can mean, if several the one that is clearly more common, else none. party is a spelling's node.
+    kind is customer or vendor; repeated rows and other columns count for nothing. Null names and names without letters name
+    nobody and are left out. Spellings of one node (equal but for case, blanks, punctuation, titles, order, middle initials,
+    written-out trades) are one party's; nodes one slip apart are; short forms and initials, names without their middle name, and
+    firms without their legal form join the one party that they reach by the cheapest and rarest rewriting, if several alike
+    none. party is a spelling's node.
     """
-    spelled = names.groupBy("kind", "name").agg(F.sum("n").alias("n")).where("name IS NOT NULL")
-    spelled = cut(spelled.mapInPandas(_nodes, "kind string, name string, n long, node string"))
-    nodes = spelled.groupBy("kind", "node").agg(F.sum("n").alias("n"))
-    forms = nodes.select("kind", "node").mapInPandas(_forms, "kind string, node string, form string, side string")
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spelled = names.select("kind", "name").where("name IS NOT NULL").distinct()
+    spelled = cut(spelled.mapInPandas(_nodes, "kind string, name string, node string"))
+    nodes = spelled.select("kind", "node").distinct()
+    # A name has a hundred forms; few names must not be made into them by one task.
+    forms = cut(nodes.repartition(spread, "kind", "node").mapInPandas(_forms, "kind string, node string, form string, side string"))
     a, b = forms.alias("a"), forms.alias("b")
     meet = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.node") != F.col("b.node")))
     meet = meet.where(((F.col("a.side") == "s") & (F.col("b.side") == "s") & (F.col("a.node") < F.col("b.node"))) | ((F.col("a.side") == "short") & (F.col("b.side") == "long")))
-    pairs = meet.select("a.kind", F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    links = cut(pairs.mapInPandas(_verified, "kind string, a string, b string, cost double"))
+    meet = meet.select("a.kind", F.col("a.node").alias("a"), F.col("b.node").alias("b"), "a.form")
+    links = cut(meet.select("kind", "a", "b").distinct().mapInPandas(_verified, "kind string, a string, b string, cost double"))
 
     tag = lambda c: F.concat_ws("\u0001", "kind", c)
     sure = components(links.where(F.col("cost") <= SURE).select(tag("a").alias("src"), tag("b").alias("dst")))
-    head = cut(nodes.withColumn("id", tag("node")).join(sure, "id", "left").select("id", "n", F.coalesce("component", "id").alias("party")))
-    weight = head.groupBy("party").agg(F.sum("n").alias("weight"))
-    # Dear links go from the party of the shorter spelling to what it can mean.
-    dear = links.where(F.col("cost") > SURE).select(tag("a").alias("a"), tag("b").alias("b"), "cost", "kind")
+    head = cut(nodes.withColumn("id", tag("node")).join(sure, "id", "left").select("id", F.coalesce("component", "id").alias("party")))
+    # Dear links go from the party of the shorter spelling to what it can mean, by the forms they share.
+    dear = meet.join(links.where(F.col("cost") > SURE), ["kind", "a", "b"])
     lone = F.when(F.col("kind") == "vendor", F.col("a").endswith("|")).otherwise(F.length("a") < F.length("b"))
-    dear = dear.select(F.when(lone, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(lone, F.col("b")).otherwise(F.col("a")).alias("to"), "cost")
-    to = head.select(F.col("id").alias("to"), F.col("party").alias("to_party"))
-    dear = dear.join(head.select("id", F.col("party").alias("of")), "id").join(to, "to").where("of <> to_party")
-    choice = dear.groupBy("of", "to_party").agg(F.min("cost").alias("cost")).join(weight.withColumnRenamed("party", "to_party"), "to_party")
-    rank = W.partitionBy("of").orderBy(F.col("tier"), F.col("weight").desc(), "to_party")
-    choice = choice.withColumn("tier", F.floor("cost"))
-    choice = choice.withColumn("place", F.row_number().over(rank)).withColumn("next", F.lead("weight").over(rank)).withColumn("next_tier", F.lead("tier").over(rank))
-    chosen = choice.where("place = 1").where(F.col("next").isNull() | (F.col("next_tier") > F.col("tier")) | (F.col("weight") >= CLEAR * F.col("next")))
-    joined = components(chosen.select(F.col("of").alias("src"), F.col("to_party").alias("dst")))
-    final = head.join(joined.select(F.col("id").alias("party"), "component"), "party", "left").select("id", F.coalesce("component", "party").alias("party"))
-    return spelled.withColumn("id", tag("node")).join(final, "id").select("kind", "name", "party")
+    dear = dear.select("kind", "form", F.floor("cost").alias("tier"), F.when(lone, tag("a")).otherwise(tag("b")).alias("id"), F.when(lone, tag("b")).otherwise(tag("a")).alias("to"))
+    dear = cut(dear.distinct())
+    # What a spelling can mean may itself be a short spelling that has only one meaning, so readings are settled in rounds.
+    while True:
+        to = head.select(F.col("id").alias("to"), F.col("party").alias("to_party"))
+        open_ = dear.join(head.select("id", F.col("party").alias("of")), "id").join(to, "to").where("of <> to_party").select("kind", "form", "tier", "of", "to_party").distinct()
+        # Rarity: how many parties a form can mean.
+        shared = open_.select("kind", "form", "to_party").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("shared"))
+        choice = open_.join(shared, ["kind", "form"]).groupBy("of", "to_party").agg(F.min(F.struct("tier", "shared")).alias("score"))
+        rank = W.partitionBy("of").orderBy("score", "to_party")
+        chosen = choice.withColumn("place", F.row_number().over(rank)).withColumn("next", F.lead("score").over(rank)).where(F.col("place") == 1).where(F.col("next").isNull() | (F.col("next") > F.col("score")))
+        chosen = cut(chosen.select("of", "to_party"))
+        if chosen.limit(1).count() == 0:
+            break
+        done = head.join(chosen.select(F.col("of").alias("party")), "party", "left_semi").select("id")
+        dear = cut(dear.join(done, "id", "left_anti"))
+        joined = components(chosen.select(F.col("of").alias("src"), F.col("to_party").alias("dst")))
+        head = cut(head.join(joined.select(F.col("id").alias("party"), "component"), "party", "left").select("id", F.coalesce("component", "party").alias("party")))
+    return spelled.withColumn("id", tag("node")).join(head, "id").select("kind", "name", "party")
 
 
 def party_pairs(members: DataFrame) -> DataFrame:
@@ -314,9 +375,9 @@ def party_pairs(members: DataFrame) -> DataFrame:
 
 
 def typed_names(upi: DataFrame, cash: DataFrame, vendors: DataFrame) -> DataFrame:
-    """(kind, name, n) of the payers and firms in the three tables; counted per table before they meet."""
-    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return count(upi, "customer", "customer_name").unionByName(count(cash, "customer", "customer_name")).unionByName(count(vendors, "vendor", "vendor_name"))
+    """(kind, name) of the payers and firms in the three tables, each once."""
+    one = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    return one(upi, "customer", "customer_name").unionByName(one(cash, "customer", "customer_name")).unionByName(one(vendors, "vendor", "vendor_name")).distinct()
 
 
 def variants_found(upi: DataFrame, cash: DataFrame, vendors: DataFrame) -> DataFrame:
