@@ -193,7 +193,7 @@ def person_cost(a: list[str], b: list[str]) -> float | None:
 
 
 def persons_cost(a: list[str], b: list[str]) -> float | None:
-    """As ``person_cost`` for names of any number of tokens: but for one of them they are the same, or one name is two tokens of the other."""
+    """As ``person_cost`` for names of any number of tokens: but for one of them they are the same, or one name is the other without one token, or two tokens of it."""
     if len(a) == len(b) == 2:
         return person_cost(a, b)
     rest_a, rest_b = list(a), list(b)
@@ -202,7 +202,8 @@ def persons_cost(a: list[str], b: list[str]) -> float | None:
             rest_a.remove(t)
             rest_b.remove(t)
     if len(a) != len(b):
-        return 4.0 if min(len(a), len(b)) == 2 and min(len(rest_a), len(rest_b)) == 0 else None
+        fewer = min(len(a), len(b)) == 2 or (abs(len(a) - len(b)) == 1 and min(len(a), len(b)) > 1)
+        return 4.0 if fewer and not (rest_a and rest_b) else None
     if len(rest_a) != 1:
         return None
     small, big = sorted((rest_a[0], rest_b[0]), key=len)
@@ -219,13 +220,14 @@ def person_forms(tokens: list[str]) -> list[tuple[str, str]]:
     """(form, side) of a name's rewritings: side s (a spelling of the same first name), long or short.
 
     A name of one token has its slips only. In names of three and more any token may be the slipped, short or initial one, and
-    any two of the tokens may be the whole name.
+    any two of the tokens, or all but one, may be the whole name.
     """
     out: set[tuple[str, str]] = set()
     if len(tokens) == 1:
         return sorted((f"T {d}", "s") for d in (_dropped(tokens[0]) if len(tokens[0]) >= 4 else tokens))
-    out |= {("M " + " ".join(sorted(two)), "short" if len(tokens) == 2 else "long") for two in combinations(tokens, 2)}
+    out.add(("M " + " ".join(sorted(tokens)), "short"))
     if len(tokens) > 2:
+        out |= {("M " + " ".join(sorted(some)), "long") for n in (2, len(tokens) - 1) for some in combinations(tokens, n)}
         for i, x in enumerate(tokens):
             y = " ".join(sorted(tokens[:i] + tokens[i + 1 :]))
             out |= {("S " + " ".join(sorted([*tokens[:i], d, *tokens[i + 1 :]])), "s") for d in (_dropped(x) if len(x) >= 3 else [x])}
