@@ -91,9 +91,10 @@ class History:
             rows = rows.where(F.col("account").isNotNull() & F.col("cents").isNotNull()).withColumn("account", F.col("account").cast("string")).withColumn("g", F.xxhash64(*_GROUP))
             groups = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).hint("shuffle_hash").join(self.state.log("groups").select("g", F.lit(True).alias("old")), "g", "left"), f"{work}/groups")
             # Hashes that groups share do no harm: numbers of different groups never meet.
-            shared = groups.where("n > 1 OR old").select("g")
-            each = rows.select("table_name", "row_id", "account", "cents", "g", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
-            busy = each.join(shared, "g", "left_semi")
+            shared = groups.select("g", (F.coalesce("old", F.lit(False)) | (F.col("n") > 1)).alias("shared"))
+            marked = written(rows.join(shared.hint("shuffle_hash"), "g").drop("g"), f"{work}/rows")
+            each = marked.select("table_name", "row_id", "account", "cents", "shared", F.posexplode("numbers").alias("field", "num")).where("num IS NOT NULL")
+            busy = each.where("shared")
             nodes = busy.groupBy(*_NODE).agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n"))
             own = nodes.withColumn("segment", _hashed("L", F.substr(F.col("num"), F.lit(1), _outer(F.length("num")))))
             held = self.state.log("index").select(*_PLACE, F.col("num").alias("known"), F.col("first").alias("old"))
@@ -102,11 +103,11 @@ class History:
             nodes = written(own.hint("shuffle_hash").join(held, same, "left").select(*[own[c] for c in _NODE], "first", "n", "old"), f"{work}/nodes")
             new = nodes.where("old IS NULL").select(*_NODE, "first")
             # A number of an account and amount that occur once is a number of its own.
-            lone = each.join(shared, "g", "left_anti").select(*_NODE, F.col("row_id").alias("first"))
+            lone = each.where("NOT shared").select(*_NODE, F.col("row_id").alias("first"))
             self.state.append(index=stored_segments(new.unionByName(lone)), groups=groups.where("old IS NULL").select("g"))
             # The same number again: rows that aren't the first of their node.
             again = nodes.where("n > 1 OR old IS NOT NULL").select(*_NODE, F.coalesce("old", "first").alias("first"))
-            exact = busy.join(again, _NODE).where("row_id <> first").select("table_name", F.col("row_id").alias("b"), F.col("first").alias("a"))
+            exact = busy.join(again.hint("shuffle_hash"), _NODE).where("row_id <> first").select("table_name", F.col("row_id").alias("b"), F.col("first").alias("a"))
             # A number but for one slip: probes of the batch's new numbers.
             held = self.state.log("index").select(*_PLACE, F.col("num").alias("known"), F.col("first").alias("a"), "turn")
             met = _probes(new).hint("shuffle_hash").join(held, _PLACE).where((F.col("turn") < self.state.now) | (F.col("a") < F.col("first"))).where(one_slip(F.col("known"), F.col("num")))
