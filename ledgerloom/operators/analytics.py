@@ -49,6 +49,21 @@ def status_breakdown(t: DataFrame) -> DataFrame:
     return rows.select("taxonomy", "n", _percent(F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))).alias("share"))
 
 
+def scatter_points(t: DataFrame) -> DataFrame:
+    """(id, date, amount, status, description): a point per dated row, amounts without sign, descriptions up to 60 characters. Rows without a date have none."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return t.where("txn_date IS NOT NULL").select("id", F.col("txn_date").alias("date"), F.abs("amount").alias("amount"), F.lower(text("status")).alias("status"), F.substring(text("description"), 1, 60).alias("description"))
+
+
+def funnel(t: DataFrame) -> DataFrame:
+    """(place, stage, n): all rows, those matched or settled, settled, similar, unmatched; five rows, zeros for no rows."""
+    cat = tx.taxonomy(F.col("status"))
+    counts = [("Total Ingested", F.count(F.lit(1))), ("Auto-Matched", _count(cat.isin("SETTLED", "MATCHED"))), ("Settled", _count(cat == "SETTLED")), ("Similar (Review)", _count(cat == "SIMILAR")), ("Unmatched", _count(cat == "UNMATCHED"))]
+    one = t.agg(*[n.alias(f"n{k}") for k, (_, n) in enumerate(counts)])
+    each = [F.struct(F.lit(k + 1).alias("place"), F.lit(name).alias("stage"), F.col(f"n{k}").alias("n")) for k, (name, _) in enumerate(counts)]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def source_status(t: DataFrame) -> DataFrame:
     """(source_name, SETTLED, MATCHED, SIMILAR, UNMATCHED, total) per source."""
     cat = tx.taxonomy(F.col("status"))

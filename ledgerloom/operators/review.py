@@ -39,6 +39,25 @@ def exception_ledger(results: DataFrame, previous: DataFrame | None = None) -> D
     return out.drop("__slice", "__at", "__s", "__before")
 
 
+def exceptions_like(ledger: DataFrame, priority: str | None = None, kind: str | None = None, only_open: bool = False) -> DataFrame:
+    """Exceptions of a priority, with a text in their type, still open; whatever the case, each condition only where it is given."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    where = F.lit(True)
+    if priority:
+        where = where & (low("priority") == priority.lower())
+    if kind:
+        where = where & low("exception_type").contains(kind.lower())
+    if only_open:
+        where = where & (low("state") == "open")
+    return ledger.where(where)
+
+
+def open_counts(ledger: DataFrame) -> DataFrame:
+    """One row: n_open, and n_high, the open ones of high priority."""
+    open_ = F.lower("state") == "open"
+    return ledger.agg(F.count(F.when(open_, 1)).alias("n_open"), F.count(F.when(open_ & (F.lower("priority") == "high"), 1)).alias("n_high"))
+
+
 def exception_summary(ledger: DataFrame) -> DataFrame:
     """(exception_type, priority, state, n)."""
     return ledger.groupBy("exception_type", "priority", "state").agg(F.count(F.lit(1)).alias("n"))

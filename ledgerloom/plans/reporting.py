@@ -143,6 +143,8 @@ QUERIES = {
     "risk_matrix": _q(lambda s, d: an.risk_matrix(transactions(s, d), TODAY)), "gateway_performance": _q(lambda s, d: an.gateway_performance(transactions(s, d))), "feature_flags": _q(lambda s, d: an.flagged(transactions(s, d))),
     "tag_counts": _q(lambda s, d: an.tag_counts(an.flagged(transactions(s, d)))), "dup_signature_flag": _q(lambda s, d: an.duplicate_signatures(transactions(s, d))), "period_settlement": period_settlement,
     "period_compare": _q(lambda s, d: an.period_compare(transactions(s, d))), "settlement_rollup": _q(lambda s, d: an.settlement_rollup(_results(s, d))), "exception_summary": _q(lambda s, d: review.exception_summary(exception_ledger(s, d))),
+    "scatter_points": _q(lambda s, d: an.scatter_points(transactions(s, d))), "funnel": _q(lambda s, d: an.funnel(transactions(s, d))), "exception_open_counts": _q(lambda s, d: review.open_counts(exception_ledger(s, d))),
+    "exception_filter": _q(lambda s, d: review.exceptions_like(exception_ledger(s, d), "HIGH", "duplicate", True).select("settlement_id", "bank_transaction_id", "exception_type", "priority")),
     "exception_ledger": _q(exception_ledger), "prf_metrics": prf_metrics, "llm_accuracy": llm_accuracy, "confidence_bands": _q(lambda s, d: an.confidence_bands(_scored(s, d))), "brier": _q(lambda s, d: an.score_quality(_scored(s, d))),
     "best_second_margin": _q(lambda s, d: an.best_and_second(_scored(s, d))), "hard_cases": _q(lambda s, d: an.hard_cases(_scored(s, d))), "match_graph": _q(lambda s, d: an.links(transactions(s, d))), "settled_split": _q(lambda s, d: an.settled_split(transactions(s, d))),
     "keyword_search": keyword_search, "amount_range_search": amount_range_search, "record_lookup": record_lookup, "paged_sorted_list": paged_sorted_list, "union_align": union_align, "set_difference": set_difference, "report_filter": report_rows,
@@ -200,6 +202,11 @@ SQL = {
         period="t", n="n", n_matched="n", match_rate="d", volume="d", d_n="n", d_rate="d", d_volume="d",
     ),
     "settlement_rollup": "WITH R AS (SELECT l_orderkey, max(CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1) SELECT CASE r WHEN 2 THEN 'matched' WHEN 1 THEN 'manual_review' ELSE 'unmatched' END AS decision, count(*) AS n FROM R GROUP BY 1",
+    "scatter_points": f"{WITH_T} SELECT id, txn_date AS date, CAST(abs(amount) AS DOUBLE) AS amount, lower(status) AS status, description[1:60] AS description FROM T WHERE txn_date IS NOT NULL",
+    "funnel": f"""{WITH_T}, X AS (SELECT {TAX} AS t FROM T) SELECT CAST(1 AS BIGINT) AS place, 'Total Ingested' AS stage, count(*) AS n FROM X UNION ALL SELECT 2, 'Auto-Matched', count(*) FROM X WHERE t IN ('SETTLED', 'MATCHED')
+ UNION ALL SELECT 3, 'Settled', count(*) FROM X WHERE t = 'SETTLED' UNION ALL SELECT 4, 'Similar (Review)', count(*) FROM X WHERE t = 'SIMILAR' UNION ALL SELECT 5, 'Unmatched', count(*) FROM X WHERE t = 'UNMATCHED'""",
+    "exception_open_counts": f"WITH R AS ({_RESULTS_SQL}), E AS (SELECT *, {_EXC} AS e FROM R WHERE decision <> 'matched'), Q AS (SELECT {_PRIO} AS priority FROM E) SELECT count(*) AS n_open, count(*) FILTER (priority = 'high') AS n_high FROM Q",
+    "exception_filter": f"WITH R AS ({_RESULTS_SQL.replace('FROM lineitem', ', concat(chr(66), CAST(l_partkey AS STRING)) AS bank_transaction_id FROM lineitem')}), E AS (SELECT *, {_EXC} AS e FROM R WHERE decision <> 'matched') SELECT settlement_id, bank_transaction_id, e AS exception_type, {_PRIO} AS priority FROM E WHERE {_PRIO} = 'high' AND contains(e, 'duplicate')",
     "exception_summary": f"WITH R AS ({_RESULTS_SQL}), E AS (SELECT *, {_EXC} AS e FROM R WHERE decision <> 'matched') SELECT e AS exception_type, {_PRIO} AS priority, 'open' AS state, count(*) AS n FROM E GROUP BY 1, 2, 3",
     "prf_metrics": PRF_SQL,
     "llm_accuracy": typed(
